@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.groups import MAX_GROUP_ROWS, as_list, each_group
+from millrace.functions.groups import as_list, each_group
 from millrace.functions.sizing import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small
 
 
@@ -26,14 +27,28 @@ def enrich(
 def join_facts(a: DataFrame, b: DataFrame, on: Mapping[str, str], how="inner") -> DataFrame:
     """Equi-join of two large tables; AQE splits the partitions of frequent keys.
 
-    AQE cannot split a full outer join, so that one is the left join plus the
-    rows of `b` without a partner, which it can split.
+    AQE splits either side of an inner join, but only one of an outer join. So an
+    outer join is the inner one and the rows without a partner, found by an anti join
+    with the distinct keys of the other side.
     """
-    if how != "full":
+    inner = a.join(b, _on(a, b, on))
+    if how == "inner":
+        return inner
+    if how not in ("left", "full"):
         return a.join(b, _on(a, b, on), how)
-    keys = a.select(*[F.col(k).alias(f"_k_{k}") for k in on]).distinct()
-    alone = b.join(keys, [b[v] == keys[f"_k_{k}"] for k, v in on.items()], "left_anti")
-    return a.join(b, _on(a, b, on), "left").unionByName(alone, allowMissingColumns=True)
+
+    def alone(rows, other, names):
+        keys = other.select(*[F.col(o).alias(f"_k_{o}") for _, o in names]).distinct()
+        return rows.join(keys, [rows[r] == keys[f"_k_{o}"] for r, o in names], "left_anti")
+
+    def nulls(rows):
+        return [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+
+    pairs = list(on.items())
+    out = inner.union(alone(a, b, pairs).select("*", *nulls(b)))
+    if how == "full":
+        out = out.union(alone(b, a, [(v, k) for k, v in pairs]).select(*nulls(a), "*"))
+    return out
 
 
 def keep_known(a: DataFrame, b: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -54,16 +69,19 @@ def asof(
     take: Mapping[str, str],
     tie: str,
     left_id: str,
-    limit=MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Each left row with the latest right row of its `by` group at or before its `ts`.
 
     `take` maps right columns to output names, null without a match. Right rows
-    of equal time are ordered by `tie`; `left_id` orders equal left rows. One
+    of equal time are ordered by `tie`; `left_id` orders equal left rows. Rows with a
+    null key or time have no match. One
     shuffle on `by` serves both sides: rows are stacked, and the last right row
     seen is carried down.
     """
     by = as_list(by)
+    # As in SQL, a null key or time matches nothing.
+    placed = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, ts]])
+    unplaced, left, right = left.where(~placed), left.where(placed), right.where(placed)
     rest = [c for c in left.columns if c not in [*by, ts]]
     picked = [F.col(r).alias(o) for r, o in take.items()]
     stacked = (
@@ -91,8 +109,9 @@ def asof(
             *by, ts, "_left.*", *[F.col(f"_match.{o}").alias(o) for o in take.values()]
         )
 
-    result = each_group(stacked, by, [ts, "_side", "_tie"], body, limit)
-    return result.select(*left.columns, *take.values())
+    result = each_group(stacked, by, [ts, "_side", "_tie"], body)
+    result = result.select(*left.columns, *take.values())
+    return result.unionByName(unplaced, allowMissingColumns=True)
 
 
 def within(

@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.groups import as_list
-from millrace.functions.sizing import broadcast_if_small
 from millrace.operators.windows import latest_per_key, top_k
+from millrace.session import checkpointed, scratch_path
 from millrace.sources.tables import read_table
 
-MAX_TOUCHED_PARTITIONS = 10_000
-
-
 def dedupe_exact(df: DataFrame, content, keep: str) -> DataFrame:
     """One row per content, the one lowest in `keep`.
 
@@ -25,38 +22,49 @@ def dedupe_exact(df: DataFrame, content, keep: str) -> DataFrame:
     return top_k(marked, ["_hash", *content], [F.col(keep)], 1).drop("_hash")
 
 
+def _same_keys(target, changes, keys):
+    """The keys of `changes`, and the condition that a row of `target` has one of them."""
+    known = changes.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    return known, [target[k].eqNullSafe(known[f"_k_{k}"]) for k in keys]
+
+
 def upsert(target: DataFrame, changes: DataFrame, keys, order) -> DataFrame:
     """`target` with changed rows replaced and new ones added.
 
-    A change set measured small is broadcast, so the target is not shuffled.
-    Of several changes to a key the last by `order` counts. Columns of `changes`
-    beyond those of `target` are not kept. Write the result to a new path: a
-    plain table cannot be read and overwritten in one job.
+    Keys come from the final changes, one row each, and AQE broadcasts them if they are
+    small. A null key is a key like any other. Of several changes to a key the last by
+    `order` counts. Columns of `changes` beyond those of `target` are not kept. Write the
+    result to a new path: a plain table cannot be read and overwritten in one job.
     """
     keys = as_list(keys)
     final = latest_per_key(changes, keys, order)
-    touched = changes.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    touched = broadcast_if_small(touched)
-    kept = target.join(touched, [target[k] == touched[f"_k_{k}"] for k in keys], "left_anti")
+    kept = target.join(*_same_keys(target, final, keys), "left_anti")
     return kept.unionByName(final.select(*target.columns))
 
 
 def upsert_partitions(path: str, schema, changes: DataFrame, keys, order, by: str) -> None:
     """`upsert` into the table at `path`, partitioned by `by`, rewriting touched partitions only.
 
-    A key must keep its partition. Partitions without a change are neither read
-    nor written. The new files replace the old ones when all are written; until
-    the job has ended readers should use a copy.
+    Touched are the partitions of the changes and those that hold a changed key now, so
+    a key may move. The result is written to the shared folder before the table is
+    touched. A partition that would lose its last row is refused before anything is
+    written: this function replaces folders and never deletes one. Replacing partitions
+    is not one atomic step: until the call returns readers should use a copy, and after a
+    failure in it the call must be repeated.
     """
-    spark = changes.sparkSession
+    spark, keys = changes.sparkSession, as_list(keys)
+    final = checkpointed(latest_per_key(changes, keys, order))
     target = read_table(spark, path, schema)
-    touched = changes.select(by).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
-    if len(touched) <= MAX_TOUCHED_PARTITIONS:
-        # Partition values, which Spark lists on the driver in any case. With
-        # more than these, all partitions are rewritten.
-        values = [r[0] for r in touched]
-        known = F.col(by).isin([v for v in values if v is not None])
-        target = target.where(known | F.col(by).isNull() if None in values else known)
-    merged = upsert(target, changes, keys, order).hint("rebalance", by)
-    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(by).parquet(path)
+    held = target.join(*_same_keys(target, final, keys), "left_semi")
+    touched = checkpointed(final.select(by).union(held.select(by)).distinct())
+    touched = touched.withColumnRenamed(by, "_touched")
+    old = target.join(touched, target[by].eqNullSafe(touched["_touched"]), "left_semi")
+    staged = scratch_path(spark, "upsert")
+    upsert(old, final, keys, order).write.parquet(staged)
+    merged = spark.read.parquet(staged)
+    left = merged.select(F.col(by).alias("_left")).distinct()
+    emptied = touched.join(left, touched["_touched"].eqNullSafe(left["_left"]), "left_anti")
+    if not emptied.isEmpty():
+        raise ValueError(f"a partition of {path} would lose its last row")
+    writer = merged.hint("rebalance", by).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
