@@ -1,12 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
-1. Every page is read once; its containers are credited with the text of their blocks,
-   without links and boilerplate, as shares of the page. A container stands for its
-   generalised path: tags and classes from the root, digits left out.
+1. Every page is read once; its articles and mains are credited with the text of their
+   blocks, without links and boilerplate, as shares of the page, and the lowest container
+   around all text outside of them with that text. A container stands for its generalised
+   path: tags and classes from the root, digits left out.
 2. Shares are summed per host and path in Spark, as whole numbers, so the sum does not
    depend on order. The path with most is the host's; ties go to the longer path.
 3. Every page is read again, and the blocks of all containers on its host's path are its
-   text. A page without such a container, or without a host, uses its own best path.
+   text. A page without such a container, or without a host, uses its own best path; so
+   does a page with text outside of a host's path that is no article or main.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left
 out by tag, role, or a word of the class or id; scripts and styles are not text.
@@ -47,6 +49,7 @@ JUNK_WORDS = frozenset(
     " sponsored subscribe toolbar widget".split()
 )
 ROOTS = frozenset("html body main article".split())
+BOUNDS = frozenset("article main".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
@@ -199,29 +202,61 @@ class Page:
             element = self.parents[element]
         return element
 
+    def _lowest(self, elements):
+        """The lowest element around all of `elements`."""
+        best = None
+        for element in set(elements):
+            line = [element]
+            while line[-1] > 0:
+                line.append(self.parents[line[-1]])
+            line.reverse()
+            if best is None:
+                best = line
+            else:
+                same = 0
+                while same < min(len(best), len(line)) and best[same] == line[same]:
+                    same += 1
+                best = best[:same]
+        return best[-1]
+
     def credits(self):
         """path -> share of the page's text, in thousandths."""
-        credit = defaultdict(float)
+        credit, rest, length_of_rest = defaultdict(int), [], 0
         for element, _, length in self.blocks:
-            container = self._container(element)
-            credit[self.paths[container]] += length
-            if container > 0 and self.tags[container] not in ROOTS:
-                credit[self.paths[self.parents[container]]] += length / 2
+            if length:
+                container = self._container(element)
+                if self.tags[container] in BOUNDS:
+                    credit[self.paths[container]] += length
+                else:
+                    rest.append(container)
+                    length_of_rest += length
+        if rest:
+            credit[self.paths[self._lowest(rest)]] += length_of_rest
         total = sum(credit.values())
-        return {p: round(1000 * c / total) for p, c in credit.items()} if total else {}
+        return {p: round(1000 * c / total) for p, c in credit.items()}
 
     def best(self):
         credit = self.credits()
         return max(credit, key=lambda p: (credit[p], len(p), p), default=None)
 
-    def text(self, path):
-        """Blocks of all containers on `path`, or None if there is none."""
+    def main_text(self, path):
+        """Text on the host's `path`, or on the page's own best path where there is no such
+        container or, outside articles and mains, not all of the own path's text is in it."""
+        inside = self._inside(path)
+        if inside is None or path.rpartition(">")[2].partition(".")[0] not in BOUNDS:
+            own = self._inside(self.best())
+            if inside is None or own and any(own[e] and not inside[e] for e, _, length in self.blocks if length):
+                inside = own
+        return "\n\n".join(t for e, t, _ in self.blocks if inside[e]) if inside else ""
+
+    def _inside(self, path):
+        """Whether each element is in a container on `path`, or None if there is none."""
         inside = [p == path for p in self.paths]
         if path is None or not any(inside):
             return None
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]
-        return "\n\n".join(t for e, t, _ in self.blocks if inside[e])
+        return inside
 
 
 def _host(url):
@@ -259,9 +294,7 @@ def extract(pages: DataFrame) -> DataFrame:
         def work(htmls, paths):
             texts = []
             for html, path in zip(htmls, paths, strict=True):
-                page = Page(html)
-                text = page.text(path)
-                texts.append(text if text is not None else page.text(page.best()) or "")
+                texts.append(Page(html).main_text(path))
             return texts, [len(t) for t in texts]
 
         return work

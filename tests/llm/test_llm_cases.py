@@ -329,6 +329,28 @@ def test_extraction_odd_rows(spark):
     assert extraction.extract(pages.limit(0)).isEmpty()
 
 
+def test_extraction_keeps_all_text_of_plain_divs(spark):
+    long, links = text(1, 200), "<ul><li><a href=x>more</a></ul>"
+    bodies = {
+        "title": "<div class=post><h1>Title</h1><div class=entry><p>LONG</p></div></div>",
+        "lead": "<div class=post><div class=lead>Lead</div><div class=body><p>LONG</p></div></div>",
+        "sections": "<div class=content><p>Intro</p><section><p>LONG</p></section><section><h2>B</h2><p>LONG</p></section></div>",
+        "list": "<div class=content><p>Intro</p><ul><li>LONG<li>LONG</ul><p>End</p></div>",
+        "body": "<h1>Title</h1><div class=entry><p>LONG</p></div>",
+    }
+    wants = {"title": "Title|LONG", "lead": "Lead|LONG", "sections": "Intro|LONG|B|LONG", "list": "Intro|LONG|LONG|End", "body": "Title|LONG"}
+    rows = [(i, f"http://{k}.example/{i}", f"<body>{'' if k == 'body' else links}{v}<footer>f</footer>".replace("LONG", long)) for k, v in bodies.items() for i in range(3)]
+    # Most pages of a host have no title: one that has keeps it. Text outside an article stays out.
+    rows += [(i, f"http://mixed.example/{i}", f"<body><div class=post>{'<h1>Title</h1>' if i == 3 else ''}<div class=entry><p>{long}</p></div></div>") for i in range(4)]
+    rows += [(i, f"http://art.example/{i}", f"<body><div>out</div><article><h1>Title</h1><div><p>{long}</p></div></article>") for i in range(3)]
+    found = extraction.extract(table(spark, rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        host = r["url"].split("/")[2].split(".")[0]
+        want = wants.get(host) or ("Title|LONG" if host == "art" or r["page_id"] == 3 else "LONG")
+        assert r["text"] == want.replace("|", "\n\n").replace("LONG", long), r["url"]
+    assert len(found) == len(rows)
+
+
 def test_neighbours_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 1.0]), (4, None), (5, []),
