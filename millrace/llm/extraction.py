@@ -11,7 +11,9 @@
    does a page with text outside of a host's path that is no article or main.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left
-out by tag, role, or a word of the class or id; scripts and styles are not text.
+out by tag, role, or a class or id that is a word for one or ends in it; scripts and
+styles are not text. A form or such a name around most of a page's text is its layout
+and stays. Names of inline elements and inside code say nothing.
 
 Defined results: null or empty html, and pages without text, give the empty string. A
 null or hostless url takes no part in a vote. Repeated rows vote and are extracted each.
@@ -39,7 +41,7 @@ INLINE = frozenset(
     " ruby s samp small span strike strong sub sup time tt u var".split()
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary address".split())
-JUNK_TAGS = frozenset("head nav header footer aside form button dialog menu".split())
+JUNK_TAGS = frozenset("head nav header footer aside button dialog menu".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 JUNK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment"
@@ -48,6 +50,9 @@ JUNK_WORDS = frozenset(
     " promotion recommended related replies respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget".split()
 )
+REPLIES = frozenset("comment comments discuss disqus replies respond".split())
+HAVING = frozenset("has have with without no".split())
+PROSE = frozenset("p pre blockquote".split())
 ROOTS = frozenset("html body main article".split())
 BOUNDS = frozenset("article main".split())
 
@@ -68,27 +73,35 @@ def _attributes(text):
     return out
 
 
-def _is_junk(tag, attributes):
-    if tag in JUNK_TAGS or attributes.get("role", "").lower() in JUNK_ROLES:
-        return True
-    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+def _is_hidden(attributes):
+    if attributes.get("role", "").lower() in JUNK_ROLES or "hidden" in attributes:
         return True
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag, attributes):
+    """The word of boilerplate that a whole class or id is, or has as its last part."""
     if tag in ROOTS and "article" != tag:
-        return False
-    named = attributes.get("class", "") + " " + attributes.get("id", "")
-    return not JUNK_WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", named).lower()))
+        return None
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [x for x in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if x]
+        # has-sidebar and the like name what is beside the text, or is not there.
+        if parts and parts[-1] in JUNK_WORDS and not (len(parts) > 1 and parts[-2] in HAVING):
+            return parts[-1]
+    return None
 
 
 class Page:
     """Elements and text blocks of one page.
 
     `paths`, `tags` and `parents` describe elements, `blocks` are (element, text, length
-    of text outside links) of what is not boilerplate, in page order.
+    of text outside links) of what is not boilerplate, in page order. `marks` has the word
+    of forms and of elements with a name of boilerplate, until `_settle`.
     """
 
     def __init__(self, html):
         self.paths, self.tags, self.parents = [""], ["html"], [-1]
-        self.blocks = []
+        self.blocks, self.marks = [], {}
         self._open = [(0, "html", False)]
         self._parts, self._links, self._link = [], 0, 0
         at = 0
@@ -111,6 +124,35 @@ class Page:
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
                     at = close.end() if close else len(html)
         self._flush()
+        self._settle()
+
+    def _settle(self):
+        """Drops the blocks of marked elements, but for a mark on most of the page's text:
+        of its paragraphs, or, for forms and pages without paragraphs, of everything. The
+        name of reader comments stays a mark if no article or main heading is inside."""
+        if not self.marks:
+            return
+        prose, everything, headed = ([0] * len(self.paths) for _ in range(3))
+        for element, _, length in self.blocks:
+            everything[element] += length
+            prose[element] += length if self.tags[element] in PROSE else 0
+        for element in range(len(self.paths) - 1, -1, -1):
+            # An article may be a reader's comment itself.
+            comment = "comment" in self.paths[element].rpartition(">")[2] and element not in self.marks
+            headed[element] |= self.tags[element] in ("article", "main", "h1") and not comment
+            if element:
+                for sums in (prose, everything):
+                    sums[self.parents[element]] += sums[element]
+                headed[self.parents[element]] |= headed[element]
+        junk = [False] * len(self.paths)
+        for element in range(1, len(self.paths)):
+            word = self.marks.get(element)
+            marked = False
+            if word:
+                held = everything if word == "form" or not prose[0] else prose
+                marked = 2 * held[element] <= held[0] or word in REPLIES and not headed[element]
+            junk[element] = marked or junk[self.parents[element]]
+        self.blocks = [b for b in self.blocks if not junk[b[0]]]
 
     def _text(self, text):
         if text and not self._open[-1][2]:
@@ -130,7 +172,7 @@ class Page:
             return
         if tag == "a":
             self._link += 1
-        if tag in INLINE and not attributes:
+        if tag in INLINE and not attributes and tag != "code":
             return
         if tag in VOID:
             if tag == "br":
@@ -141,8 +183,10 @@ class Page:
         attributes = _attributes(attributes) if attributes.strip(" /") else {}
         junk = self._open[-1][2]
         if tag in INLINE:
-            if junk or _is_junk(tag, attributes):
+            if junk or _is_hidden(attributes):
                 self._open.append((self._open[-1][0], tag, True))
+            elif tag == "code":
+                self._open.append((self._open[-1][0], tag, False))
             return
         self._flush()
         # A block ends an open paragraph; a list item or cell ends one of its kind.
@@ -153,10 +197,12 @@ class Page:
         else:
             self._close_one(("p",), ("td", "th", "li", "table", "article", "section", "div", "blockquote"))
         parent, _, junk = self._open[-1]
-        junk = junk or _is_junk(tag, attributes)
-        if junk:
+        if junk or tag in JUNK_TAGS or _is_hidden(attributes):
             self._open.append((parent, tag, True))
             return
+        word = "form" if tag == "form" else _named(tag, attributes)
+        if word and not any(t in ("pre", "code") for _, t, _ in self._open):
+            self.marks[len(self.paths)] = word
         kind = " ".join(sorted(re.sub(r"\d+", "", attributes.get("class", "")).lower().split()))
         path = self.paths[parent] if tag == "html" else f"{self.paths[parent]}>{tag}" + (f".{kind}" if kind else "")
         self._open.append((len(self.paths), tag, False))

@@ -351,6 +351,27 @@ def test_extraction_keeps_all_text_of_plain_divs(spark):
     assert len(found) == len(rows)
 
 
+def test_extraction_looks_inside_marked_elements(spark):
+    body = f"<h1>Title</h1><p>{text(1, 60)}</p>"
+    want = f"Title\n\n{text(1, 60)}"
+    extras = "<div class='cookie-notice'><p>We</p></div><ul class=site-menu><li>Home</ul><div id=comments><p>Me too</p></div>"
+    wraps = [
+        "<div class='content-sidebar-wrap'>X</div>", "<div class='page has-sidebar'>X</div>", "<div class='layout-with-sidebar'>X</div>",
+        "<article class='post comments-open'>X</article>", "<article class='post comments'>X</article>", "<div id=widget>X</div>",
+        "<form id=aspnet>X</form>", "<form><div class=popup>X</div></form>",
+    ]
+    rows = [(i, f"http://h{i}.example/", f"<body>{w.replace('X', body + extras)}</body>") for i, w in enumerate(wraps)]
+    code = "<article><p>One <em class=notice>two</em> three</p><pre><code>a <span class='hljs-comment'># b</span> <span class='token comment'>c</span></code></pre></article>"
+    rows.append((100, "http://code.example/", code))
+    # Long comments beside a short text are comments all the same, as are adverts without paragraphs.
+    rows.append((101, "http://comments.example/", f"<div class=post><p>Short</p><div id=comments><p>{text(2, 80)}</p></div><div class=ad>{text(3, 80)}</div></div>"))
+    rows.append((102, "http://wordpress.example/", f"<div class=post><p>Short</p></div><div id=comments><article class='comment-body'><p>{text(2, 80)}</p></article></div>"))
+    found = {r["page_id"]: r["text"] for r in extraction.extract(table(spark, rows, "page_id long, url string, html string")).collect()}
+    for i, wrap in enumerate(wraps):
+        assert found[i] == want, wrap
+    assert found[100] == "One two three\n\na # b c" and found[101] == found[102] == "Short"
+
+
 def test_neighbours_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 1.0]), (4, None), (5, []),
