@@ -12,7 +12,7 @@
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left
 out by tag, role, or a class or id that is a word for one or ends in it; scripts and
-styles are not text. A form or such a name around most of a page's text is its layout
+styles are not text, words in drawings, formulas, objects and noscript are. A form or such a name around most of a page's text is its layout
 and stays. Names of inline elements and inside code say nothing.
 
 Defined results: null or empty html, and pages without text, give the empty string. A
@@ -35,10 +35,13 @@ from millrace.session import checkpointed
 
 # Kinds of HTML elements, and words that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style template iframe textarea title".split())
+FOREIGN = frozenset("svg math".split())
+OPTIONS = frozenset("option optgroup".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt"
-    " ruby s samp small span strike strong sub sup time tt u var".split()
+    " ruby s samp small span strike strong sub sup time tt u var"
+    " svg math object noscript select option optgroup".split()
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary address".split())
 JUNK_TAGS = frozenset("head nav header footer aside button dialog menu".split())
@@ -50,6 +53,9 @@ JUNK_WORDS = frozenset(
     " promotion recommended related replies respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget".split()
 )
+FLOW = (LEAVES | JUNK_TAGS) - {"head", "button"} | frozenset(
+    "html body main article section div form blockquote center figure fieldset table thead tbody tfoot tr td th ul ol dl".split()
+)
 REPLIES = frozenset("comment comments discuss disqus replies respond".split())
 HAVING = frozenset("has have with without no".split())
 PROSE = frozenset("p pre blockquote".split())
@@ -104,6 +110,7 @@ class Page:
         self.blocks, self.marks = [], {}
         self._open = [(0, "html", False)]
         self._parts, self._links, self._link = [], 0, 0
+        self._foreign = False
         at = 0
         html = html or ""
         while True:
@@ -119,10 +126,13 @@ class Page:
             if found[1] or found[4]:
                 self._end(tag)
             else:
-                self._begin(tag, found[3] or found[6] or "")
-                if tag in RAW:
+                attributes = found[3] or found[6] or ""
+                self._begin(tag, attributes)
+                if tag in RAW and not (attributes.endswith("/") and self._in_foreign()):
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-                    at = close.end() if close else len(html)
+                    # Only scripts and styles without an end are no text up to the end of the page.
+                    if close or tag in ("script", "style"):
+                        at = close.end() if close else len(html)
         self._flush()
         self._settle()
 
@@ -167,9 +177,35 @@ class Page:
             self.blocks.append((self._open[-1][0], text, max(0, len(text) - self._links)))
         self._parts, self._links = [], 0
 
+    def _in_foreign(self):
+        return self._foreign and any(t in FOREIGN for _, t, _ in self._open)
+
     def _begin(self, tag, attributes):
         if tag in RAW:
             return
+        if tag in FOREIGN:
+            # In a line of text; its own elements are not containers.
+            if not attributes.endswith("/"):
+                self._foreign = True
+                junk = self._open[-1][2] or _is_hidden(_attributes(attributes))
+                self._open.append((self._open[-1][0], tag, junk))
+            return
+        if self._in_foreign() and tag not in INLINE and tag not in VOID:
+            if tag not in FLOW:
+                if tag == "text":
+                    self._parts.append(" ")
+                return
+            # Left open: a block of the page ends it.
+            while self._open[-1][1] in INLINE:
+                self._open.pop()
+        if tag in OPTIONS:
+            # Choices of a form; the next one, a block or any other end tag ends them.
+            if self._open[-1][1] == "option":
+                self._open.pop()
+            self._open.append((self._open[-1][0], tag, True))
+            return
+        if tag not in INLINE and tag not in VOID:
+            self._end_options()
         if tag == "a":
             self._link += 1
         if tag in INLINE and not attributes and tag != "code":
@@ -192,7 +228,7 @@ class Page:
         # A block ends an open paragraph; a list item or cell ends one of its kind.
         if tag in ("td", "th"):
             self._close_one(("td", "th"), ("tr", "table"))
-        elif tag in ("li", "tr", "dt", "dd", "option"):
+        elif tag in ("li", "tr", "dt", "dd"):
             self._close_one((tag,) if tag not in ("dt", "dd") else ("dt", "dd"), ("ul", "ol", "table", "dl"))
         else:
             self._close_one(("p",), ("td", "th", "li", "table", "article", "section", "div", "blockquote"))
@@ -218,7 +254,15 @@ class Page:
             if self._open[k][1] in barriers:
                 return
 
+    def _end_options(self):
+        while self._open[-1][1] in OPTIONS:
+            self._open.pop()
+
     def _end(self, tag):
+        if tag not in OPTIONS:
+            self._end_options()
+        if tag not in INLINE and tag not in FLOW and self._in_foreign():
+            return
         if tag == "a":
             self._link = max(0, self._link - 1)
         for k in range(len(self._open) - 1, 0, -1):

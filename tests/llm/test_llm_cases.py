@@ -372,6 +372,30 @@ def test_extraction_looks_inside_marked_elements(spark):
     assert found[100] == "One two three\n\na # b c" and found[101] == found[102] == "Short"
 
 
+def test_extraction_reads_on_behind_embedded_elements():
+    cases = {
+        "<p>One <svg class=icon/> two</p><p>three</p>": "One two\n\nthree",
+        "<p>One <svg class='icon' /> two</p><p>x <svg><path d='M0'/></svg>three</p>": "One two\n\nx three",
+        "<p>One <math display='block'/> two</p><p>three</p>": "One two\n\nthree",
+        "<p>One <svg><g><title/><text>two</text></g></svg> three</p>": "One two three",
+        "<p>One <svg><path><p>two</p>": "One\n\ntwo",
+        "<p>One <svg style='display:none'><text>no</text></svg>two</p>": "One two",
+        "<p>One <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> two</p>": "One x=1 two",
+        "<p>One</p><object data=x><p>two</p></object><p>three</p>": "One\n\ntwo\n\nthree",
+        "<p>One</p><object data=x><p>two</p>": "One\n\ntwo",
+        "<p>One <select><option>no<option>nor</select> two</p>": "One two",
+        "<p>One</p><select name=x><option>no<p>two</p>": "One\n\ntwo",
+        "<p>One</p><select><optgroup label=x><option value=1>no</option></optgroup></select>two": "One\n\ntwo",
+        "<p>One</p><noscript><p>two</p></noscript>three": "One\n\ntwo\n\nthree",
+        "<p>One</p><noscript>two<p>three</p>": "One\n\ntwo\n\nthree",
+        "<p>One</p><textarea>two<p>three</p>": "One\n\ntwo\n\nthree",
+        "<p>One</p><script>no<p>no</p>": "One",
+        "<p>One</p><template><p>no</p></template><title>no</title><p>two</p>": "One\n\ntwo",
+    }
+    for page, want in cases.items():
+        assert "\n\n".join(t for _, t, _ in extraction.Page(page).blocks) == want, page
+
+
 def test_neighbours_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 1.0]), (4, None), (5, []),
