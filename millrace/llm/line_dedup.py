@@ -131,7 +131,6 @@ def _suspect_lines(docs, lines, distinct):
         F.collect_list(F.struct("line_no", "sides", "h1")).alias("wanted")
     )
     per_doc = broadcast_if_small(checkpointed(per_doc))
-    # Repeated rows of one document count once.
     found = docs.join(per_doc, ["doc_id", "text_hash"])
     schema = T.StructType.fromDDL("doc_id long, line_no int, h1 long, sides int, line string")
 
@@ -149,6 +148,8 @@ def _suspect_lines(docs, lines, distinct):
         return work
 
     wanted = flat_rows(found, ["text", "doc_id", "wanted"], schema, prepare)
+    # Repeated rows of one document count once.
+    wanted = wanted.groupBy("doc_id", "line_no", "h1").agg(F.max("sides").alias("sides"), F.min("line").alias("line"))
     return wanted.withColumn("place", _order())
 
 

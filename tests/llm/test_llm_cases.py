@@ -112,6 +112,21 @@ def test_line_dedup(spark):
     assert line_dedup.clean(table(spark, [], DOCS)).isEmpty()
 
 
+def test_line_dedup_stores_lines_of_repeated_rows_once(spark, monkeypatch):
+    sizes, stored = {}, line_dedup._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "_stored", counted)
+    line = text(5, 12)
+    docs = table(spark, [(1, f"{line} x\n{line} y")] * 20)
+    removed = [r["removed"] for r in line_dedup.repeated_lines(docs).collect()]
+    assert removed == [[1]] and sizes["suspect-lines"] == 2
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(5)
     pool = [words(s, rng.randrange(4, 16), 30) for s in range(25)]
