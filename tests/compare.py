@@ -63,3 +63,9 @@ def differences(df, connection, sql):
             f"extra {list(extra)[:3]}; missing {list(missing)[:3]}"
         )
     return problems
+
+
+def rows(df, *columns):
+    """Sorted row tuples, nulls first."""
+    df = df.select(*columns) if columns else df
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, str(v)) for v in r])

@@ -1,7 +1,7 @@
 """Nulls, names, rules, outer joins and upserts."""
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, joins, merge, quality, windows
