@@ -13,6 +13,7 @@ from millrace.llm import (
     packing,
     quality,
     secrets,
+    sharding,
     token_counts,
     toxicity,
 )
@@ -199,3 +200,54 @@ def op2_toxicity(spark, folder):
 @query("op4_extraction")
 def op4_extraction(spark, folder):
     return extraction.extract(_table(spark, folder, "pages"))
+
+
+def _crc32_sql(blob):
+    """Unsigned CRC-32 of a blob, byte by byte; DuckDB has no function for it."""
+    table = []
+    for code in range(256):
+        for _ in range(8):
+            code = code >> 1 ^ (0xEDB88320 if code & 1 else 0)
+        table.append(code)
+    octets = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    step = f"xor(({table})[1 + (xor(c, b) & 255)], c >> 8)"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295), 4294967295)"
+
+
+def _sharding_sql(shards, cells, replicas):
+    """The waves over the cells of the ring, one after the other."""
+    position = f"CAST('0x' || substr(md5({{}}), 1, 8) AS BIGINT) % {cells}"
+    waves = []
+    for k in range(shards + 1):
+        waves.append(
+            f"""t{k} AS MATERIALIZED (SELECT cell, n, done, arg_min(shard, far) AS shard FROM l{k} JOIN pref USING (cell)
+  JOIN u{k} USING (shard) WHERE n > 0 AND used < room GROUP BY ALL),
+w{k} AS MATERIALIZED (SELECT cell, n, done, shard, used + before AS first, greatest(0, least(n, room - used - before)) AS take
+  FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM t{k} JOIN u{k} USING (shard))),
+l{k + 1} AS MATERIALIZED (SELECT cell, n - take AS n, done + take AS done FROM w{k}),
+u{k + 1} AS MATERIALIZED (SELECT shard, room, used + coalesce((SELECT sum(take) FROM w{k} WHERE w{k}.shard = u.shard), 0) AS used FROM u{k} u),"""
+        )
+    ranges = " UNION ALL ".join(f"SELECT cell, done AS low, done + take AS high, shard, first FROM w{k} WHERE take > 0" for k in range(shards + 1))
+    return f"""WITH x AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+y AS (SELECT doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size, CAST({_crc32_sql("b")} AS BIGINT) AS text_crc32 FROM x),
+d AS MATERIALIZED (SELECT *, {position.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS cell,
+       md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32) AS o FROM y),
+v AS (SELECT s AS shard, {position.format("'shard-' || s || '-' || r")} AS cell FROM range({shards}) a(s), range({replicas}) b(r)),
+l0 AS MATERIALIZED (SELECT cell, count(*) AS n, 0 AS done FROM d GROUP BY cell),
+pref AS MATERIALIZED (SELECT l0.cell, shard, min((v.cell - l0.cell + {cells}) % {cells} * {shards} + shard) AS far FROM l0, v GROUP BY ALL),
+wanted AS (SELECT s AS shard, coalesce(sum(n), 0) AS n FROM range({shards}) a(s)
+  LEFT JOIN (SELECT cell, any_value(n) AS n, arg_min(shard, far) AS shard FROM l0 JOIN pref USING (cell) GROUP BY cell) f ON shard = s GROUP BY s),
+u0 AS MATERIALIZED (SELECT shard, 0 AS used, t // {shards} + CAST(row_number() OVER (ORDER BY n DESC, shard) <= t % {shards} AS INTEGER) AS room
+  FROM wanted, (SELECT count(*) AS t FROM d)),
+{chr(10).join(waves)}
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY o, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank FROM d),
+g AS ({ranges})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(first + rank - low AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN g ON r.cell = g.cell AND rank >= low AND rank < high"""
+
+
+@query("op13_sharding", _sharding_sql(8, sharding.CELLS, sharding.REPLICAS))
+def op13_sharding(spark, folder):
+    return sharding.report(_table(spark, folder, "documents"))
