@@ -11,6 +11,7 @@ from millrace.llm import (
     near_dedup,
     neighbours,
     packing,
+    prefix_trie,
     quality,
     secrets,
     sharding,
@@ -251,3 +252,35 @@ FROM r JOIN g ON r.cell = g.cell AND rank >= low AND rank < high"""
 @query("op13_sharding", _sharding_sql(8, sharding.CELLS, sharding.REPLICAS))
 def op13_sharding(spark, folder):
     return sharding.report(_table(spark, folder, "documents"))
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH t AS (SELECT conv_id, md5(coalesce(text, '')) || md5(coalesce(role, '')) AS h, length(coalesce(text, '')) AS size,
+                  row_number() OVER (PARTITION BY conv_id
+                    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, {_crc32_sql("encode(CAST(conv_id AS VARCHAR))")} % 6 AS n
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, k, h, size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k <= n
+      UNION ALL SELECT conv_id, k, h, size FROM c JOIN t USING (conv_id) WHERE k > n),
+p AS (SELECT conv_id, coalesce(list(h ORDER BY k) FILTER (WHERE h IS NOT NULL), []) AS path,
+             coalesce(list(size ORDER BY k) FILTER (WHERE h IS NOT NULL), []) AS sizes
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS MATERIALIZED (SELECT conv_id, d, len(path) AS n, coalesce(sizes[d], 0) AS size,
+             md5(array_to_string(path[1:d], '')) AS node, md5(array_to_string(path[1:d - 1], '')) AS above
+      FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+q AS MATERIALIZED (SELECT d, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+             string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends
+      FROM m GROUP BY d, node),
+k AS (SELECT d - 1 AS d, above AS node, count(*) AS n FROM q WHERE d > 0 GROUP BY ALL),
+s AS (SELECT m.d, m.node, count(*) FILTER (WHERE k.n IS NULL) AS leaves, sum((q.n_convs - 1) * q.size) AS saved
+      FROM q LEFT JOIN k USING (d, node) JOIN m ON m.conv_id = q.conv_id AND m.d <= q.d GROUP BY ALL)
+SELECT q.conv_id, q.d AS depth, u.conv_id AS parent_conv_id, q.n_convs, coalesce(k.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(q.ends, '')) AS ends_sha256
+FROM q LEFT JOIN k USING (d, node) JOIN s USING (d, node) LEFT JOIN q u ON q.d > 0 AND u.d = q.d - 1 AND u.node = q.above
+""",
+)
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.report(_table(spark, folder, "conversations"))
