@@ -15,6 +15,7 @@ from millrace.llm import (
     quality,
     secrets,
     sharding,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -284,3 +285,18 @@ FROM q LEFT JOIN k USING (d, node) JOIN s USING (d, node) LEFT JOIN q u ON q.d >
 )
 def op11_prefix_trie(spark, folder):
     return prefix_trie.report(_table(spark, folder, "conversations"))
+
+
+def _model(name):
+    """A public vocabulary file as it is."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, folder):
+    return token_alignment.report(
+        _table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), _model("piece_bpe_32k.model")
+    )
