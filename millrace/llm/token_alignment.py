@@ -28,7 +28,9 @@ rows count each. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
 
 import numpy as np
@@ -49,7 +51,7 @@ from millrace.session import scratch_path
 HEAD_PAIRS = 2_000_000
 HELD_PAIRS = 1_500_000
 #: What a worker remembers before it starts anew: units, and their characters.
-CACHED, CACHED_CHARS = 400_000, 16_000_000
+CACHED, CACHED_CHARS = 600_000, 16_000_000
 #: Pairs in one row of partial counts.
 ROW_PAIRS = 50_000
 MARK = "▁"
@@ -58,11 +60,27 @@ MARK = "▁"
 UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+\Z")
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they are first asked for; `new` lists those."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class Encoder:
     """Token ids of texts by both tokenizers, from a cache of units."""
 
     def __init__(self, json_text, model, limit=CACHED):
         import sentencepiece
+
+        # Spark gives a task one core; the library's threads would wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.a, self.limit = Tokenizer.from_str(json_text), limit
@@ -78,6 +96,7 @@ class Encoder:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)
         ]
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id(MARK)
         pre = json.loads(json_text).get("pre_tokenizer") or {}
         # Pieces hold the mark in front only, and no white space is dropped or added.
@@ -90,30 +109,37 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.code, self.chars = {}, 0
+        self.code, self.chars = Numbers(), 0
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.start = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
         self.good = np.zeros(0, bool)
 
     def _encode(self, units):
-        """Ids of texts that begin with a space, by A and B, and whether both keep the bytes."""
+        """Ids of texts that begin with a space and their numbers, by A and B, and whether
+        both keep the bytes of each text."""
         a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] for u in units], num_threads=1)
         # The library gives nothing for an empty text; in a longer one a space is a piece.
         b = [ids or [self.space] for ids in b]
-        good = []
-        for unit, x, y in zip(units, a, b, strict=True):
-            want = unit.encode()
-            good.append(b"".join([self.bytes_a[i] for i in x]) == want == b"".join([self.bytes_b[i] for i in y]))
-        return a, b, good
+        want = [u.encode() for u in units]
+        joined, length = b"".join(want), np.array([len(w) for w in want], np.int64)
+        good, sides = np.ones(len(units), bool), []
+        for lists, tokens, sizes in ((a, self.bytes_a, self.sizes_a), (b, self.bytes_b, self.sizes_b)):
+            count = np.array([len(x) for x in lists], np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32, count.sum())
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(count)]
+            # Mostly all are right at once; else each is looked at.
+            if b"".join([tokens[i] for i in ids.tolist()]) != joined or (ends != np.cumsum(length)).any():
+                good &= [b"".join([tokens[i] for i in x]) == w for x, w in zip(lists, want, strict=True)]
+            sides.append((ids, count))
+        return sides, good
 
     def _learn(self, units):
-        *both, good = self._encode(units)
-        for k, lists in enumerate(both):
-            sizes = np.array([len(x) for x in lists], np.int64)
-            self.ids[k] = np.concatenate([self.ids[k], *[np.array(x, np.int32) for x in lists]])
-            self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(sizes)])
-        self.good = np.concatenate([self.good, np.array(good, bool)])
+        sides, good = self._encode(units)
+        for k, (ids, count) in enumerate(sides):
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+            self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(count)])
+        self.good = np.concatenate([self.good, good])
 
     def lists(self, texts):
         """Two Arrow lists of ids, empty for a text without tokens."""
@@ -122,16 +148,12 @@ class Encoder:
         spaced = [" " + t if t else "" for t in texts]
         cut = self.cuttable
         units = [UNIT.findall(t) if cut and t else [t] if t else [] for t in spaced]
-        code, new = self.code, []
-        for parts in units:
-            for u in parts:
-                if u not in code:
-                    code[u] = len(code)
-                    new.append(u)
-        if new:
-            self._learn(new)
-            self.chars += sum(map(len, new))
-        used = np.fromiter((code[u] for parts in units for u in parts), np.int64)
+        code = self.code
+        used = np.array(list(map(code.__getitem__, itertools.chain.from_iterable(units))), np.int64)
+        if code.new:
+            self._learn(code.new)
+            self.chars += sum(map(len, code.new))
+            code.new = []
         counts = np.array([len(parts) for parts in units], np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
         bad = np.unique(owner[~self.good[used]])
@@ -147,11 +169,11 @@ class Encoder:
         for i in bad.tolist():
             if counts[i] > 1:
                 # Units keep their bytes or not one by one; only the whole text decides.
-                a, b, good = self._encode([spaced[i]])
+                sides, good = self._encode([spaced[i]])
                 if good[0]:
-                    for k, ids in ((0, a[0]), (1, b[0])):
+                    for k, (ids, _) in enumerate(sides):
                         flat, ends = out[k]
-                        out[k] = [np.insert(flat, ends[i], np.array(ids, np.int32)), ends + len(ids) * (np.arange(len(ends)) > i)]
+                        out[k] = [np.insert(flat, ends[i], ids), ends + len(ids) * (np.arange(len(ends)) > i)]
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())) for flat, ends in out]
 
 
