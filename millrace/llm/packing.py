@@ -14,12 +14,14 @@ pieces are numbered per length in parallel, salted, so that a length shared by a
 of all pieces is spread over many tasks.
 
 Defined results: a null or empty text is one piece, the end id alone. Repeated rows are
-packed each for itself. An empty table gives no rows.
+packed each for itself. An empty table gives no rows. Code points that the tokenizer's tables
+lack, or have in another way than Python's, are as the tokenizer has them.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -46,22 +48,48 @@ CACHED_WORDS = 600_000
 #: What the library folds or splits otherwise than Python does; such texts go to it whole.
 _ODD = ("<|", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f")
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Added to the kind of a code point that the library may fold or compose in another way.
+ODD = 4
 
 
-def _kinds():
-    """The kind of every code point."""
-    import regex
+def code_point_kinds(tokenizer):
+    """The kind of every code point, as the tokenizer's own tables have it.
 
+    Its pre-tokenizer cuts a text of all code points into runs of one kind, of which one
+    character is looked at. Code points that the normalizer folds otherwise than Python,
+    or that Python does not know, are marked as odd.
+    """
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    points = np.array(points)
-    kinds = np.full(0x110000, OTHER, np.uint8)
-    for kind, code in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for run in regex.finditer(code, every):
-            kinds[points[run.start() : run.end()]] = kind
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def runs(text):
+        return len({at for _, at in cut(text)})
+
+    kinds = np.full(0x110000, SPACE, np.uint8)
+    every = np.array(points)
+    known = {}
+    for _, (begin, end) in cut("".join(map(chr, points))):
+        first = chr(points[begin])
+        if (begin, end) not in known:
+            kind = LETTER if runs("a" + first) == 1 else NUMBER if runs(first * 2) == 2 else OTHER
+            known[begin, end] = kind
+            kinds[every[begin:end]] = kind
+    # A mark that no character folds to or joins with stands between the code points.
+    folded = tokenizer.normalizer.normalize_str("\x00".join(map(chr, points[1:]))).split("\x00")
+    for c, new in zip(points[1:], folded, strict=True):
+        plain = unicodedata.normalize("NFC", chr(c)).lower()
+        if plain != new and not new.isspace() or unicodedata.category(chr(c)) == "Cn":
+            kinds[c] |= ODD
     return kinds
 
 
+@functools.lru_cache(2)
+def _kinds_of(tokenizer_json):
+    from tokenizers import Tokenizer
+
+    return code_point_kinds(Tokenizer.from_str(tokenizer_json))
+
+
 class WordIds:
     """Token ids of texts, by a cache of pre-tokens.
 
@@ -71,19 +99,30 @@ class WordIds:
     the last id of each carries the word end.
     """
 
-    def __init__(self, tokenizer, limit=CACHED_WORDS):
+    def __init__(self, tokenizer, kinds=None, limit=CACHED_WORDS):
         self.tokenizer, self.limit, self.cache = tokenizer, limit, {}
-        self.kinds = _kinds()
-        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        kinds = code_point_kinds(tokenizer) if kinds is None else kinds
+        self.kinds, self.odd = kinds & (ODD - 1), kinds >= ODD
+        size = 1 + max(tokenizer.get_vocab().values())
+        self.ends, self.bytes = np.zeros(size, bool), np.zeros(size, np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            # Each letter of a token stands for a byte.
+            self.ends[i], self.bytes[i] = token.endswith("</w>"), len(token.removesuffix("</w>"))
 
     def _learn(self, names, words):
         for i in range(0, len(words), 200):
-            ids = self.tokenizer.encode(" ".join(words[i : i + 200]), add_special_tokens=False).ids
-            ids = np.array(ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            some = words[i : i + 200]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            size = np.diff(np.concatenate([[0], np.cumsum(self.bytes[ids])])[np.concatenate([[0], cuts])])
+            if size.tolist() != [len(w.encode()) for w in some]:
+                # The library cuts one of them in another way: each for itself.
+                for name, word in zip(names[i : i + 200], some, strict=True):
+                    one = self.tokenizer.encode(word, add_special_tokens=False).ids
+                    self.cache[name] = np.array(one, "<u4").tobytes()
+                continue
             data, begin = ids.tobytes(), 0
-            for name, end in zip(names[i : i + 200], cuts, strict=True):
+            for name, end in zip(names[i : i + 200], cuts.tolist(), strict=True):
                 self.cache[name] = data[4 * begin : 4 * end]
                 begin = end
 
@@ -91,7 +130,11 @@ class WordIds:
         """True if folding and splitting `text` in Python gives what the library would."""
         if any(x in text for x in _ODD):
             return False
-        return text.isascii() or unicodedata.is_normalized("NFC", text)
+        if text.isascii():
+            return True
+        if self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            return False
+        return unicodedata.is_normalized("NFC", text)
 
     def _cut(self, codes):
         """Where pre-tokens begin and end."""
@@ -164,7 +207,7 @@ def _held(shared):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        held["ids"] = WordIds(Tokenizer.from_str(held["json"]))
+        held["ids"] = WordIds(Tokenizer.from_str(held["json"]), held["kinds"])
     return held["ids"]
 
 
@@ -174,7 +217,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids
 def pieces(docs: DataFrame, tokenizer_json: str, capacity=CAPACITY, end_id=END_ID, with_ids=True) -> DataFrame:
     """One row per piece of each document: `doc_id`, `piece`, `start`, `length`, `ids_crc32`
     and, if asked for, `ids` (packed little-endian 32-bit). `tokenizer_json` is the file's content."""
-    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json})
+    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json, "kinds": _kinds_of(tokenizer_json)})
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
     fields = T.StructType.fromDDL(_PIECES).fields

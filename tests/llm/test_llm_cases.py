@@ -260,6 +260,21 @@ def test_packing_odd_rows(spark, odd):
     assert ids == [np.array(plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
 
 
+def test_packing_of_every_code_point():
+    """Alone, twice, and between letters and numbers, as the tokenizer has it."""
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_str(vocabulary("word_bpe_49k.json"))
+    ids = packing.WordIds(plain)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x3400 <= c < 0x9F00 and not 0x20000 <= c < 0xE0000 and c < 0xF0000]
+    points += list("\u3400\u9fff\uac00\U00020000\U0002ffff\U00030000\U000f0000\U0010ffff")
+    for begin in range(0, len(points), 500):
+        texts = [f"{c} ab{c}x {c}{c} 1{c}2" for c in points[begin : begin + 500]]
+        want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert ids.packed(texts) == want, begin
+    odd = ["ab\u209dx", "x\u0558", "a\u058bb", "ab\U00011de0\U00011de1", "\u0378", "\U0001ccf0" * 3]
+    assert ids.packed(odd) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+
+
 def test_token_counts_odd_rows(spark, odd):
     tokenizers = pytest.importorskip("tokenizers")
     code = vocabulary("byte_bpe_50k.json")
