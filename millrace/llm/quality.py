@@ -7,7 +7,8 @@ these ratios, scaled to length 1, go to a linear support vector machine, fitted
 coordinate descent on hinge loss; a logistic curve turns its margin into a score.
 
 Ratios are counted over all labelled texts in Spark; the machine is fitted on at most
-SAMPLE of them, chosen by a hash of the text's id, evenly from both classes.
+SAMPLE of them and SAMPLE_BYTES of text, chosen by a hash of the text's id, evenly from
+both classes. A repeated id counts once there, with its lowest text.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias
 alone. With no labels, or one class only, every score is the share of good labels
@@ -28,8 +29,10 @@ from millrace.llm.hashing import BY_WHITE_SPACE, Words
 
 BITS = 18
 CELLS = 1 << BITS
-#: Labelled texts, of each class, that the machine is fitted on at most.
-SAMPLE = 3000
+#: Labelled texts, of each class, that the machine is fitted on at most, and their bytes.
+SAMPLE, SAMPLE_BYTES = 3000, 32_000_000
+#: Rows whose cells lie in one array.
+CHUNK_ROWS = 200
 COST, PASSES = 1.0, 20
 FOLDS, HELD_OUT = 3, 1
 
@@ -55,30 +58,33 @@ def cells(text):
     return np.flatnonzero(found)
 
 
-def descend(rows, signs, passes=PASSES, cost=COST, seed=7):
-    """Weights and bias of the hinge-loss machine over sparse unit rows [(cells, values)].
+def descend(rows, signs, ratio, passes=PASSES, cost=COST, seed=7):
+    """Each cell's share of the margin (weight times ratio), and the bias, of the hinge-loss
+    machine over `rows` of (cells, scale): a row's values are its cells' ratios times scale.
 
-    Dual coordinate descent: each step solves one row's multiplier exactly.
+    Dual coordinate descent: each step solves one row's multiplier exactly. Rows have
+    length 1. Values are not stored; the shares take the squares of the ratios.
     """
-    weights, bias = np.zeros(CELLS), 0.0
+    share, bias, squares = np.zeros(CELLS), 0.0, ratio**2
     alpha = np.zeros(len(rows))
-    norms = np.array([v @ v + 1.0 for _, v in rows])
+    # Length 1 and the bias; a row without cells has the bias alone.
+    norms = np.array([(squares[at].sum() * scale**2) + 1.0 for at, scale in rows])
     order = np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            at, value = rows[i]
-            slope = signs[i] * (weights[at] @ value + bias) - 1.0
+            at, scale = rows[i]
+            slope = signs[i] * (share[at].sum() * scale + bias) - 1.0
             new = min(max(alpha[i] - slope / norms[i], 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * signs[i]
-                weights[at] += step * value
+                share[at] += step * scale * squares[at]
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return weights, bias
+    return share, bias
 
 
 def calibrate(margins, truth, weight):
@@ -102,10 +108,10 @@ def calibrate(margins, truth, weight):
 
 
 class Model:
-    def __init__(self, ratio, weights, bias, slope, shift):
-        # One table: a cell's ratio, and its share of the margin.
+    def __init__(self, ratio, share, bias, slope, shift):
+        # Of each cell: its square, and its share of the margin.
         self.squares = (ratio**2).astype(np.float32)
-        self.share = (ratio * weights).astype(np.float32)
+        self.share = share.astype(np.float32)
         self.bias, self.slope, self.shift = bias, slope, shift
 
     def margin(self, at):
@@ -160,39 +166,55 @@ def train(labelled: DataFrame, sample=SAMPLE):
     good[counted["cell"]] += counted["good"]
     bad[counted["cell"]] += counted["bad"]
     ratio = np.log(good / (sizes[1] + 2)) - np.log(bad / (sizes[0] + 2))
-    # The sample is chosen by ids alone, and only its texts are fetched.
-    ids = [
-        r["doc_id"]
-        for label in (0, 1)
-        for r in labelled.where(F.col("label") == label)
-        .select("doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-        .collect()
-    ]
-    wanted = labelled.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    chosen = (
-        labelled.join(F.broadcast(wanted.distinct()), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(2 * sample)
-        .collect()
-    )
-    rows = []
-    for r in chosen:
-        at = cells(r["text"])
-        value = ratio[at]
-        rows.append((at.astype(np.int32), value / max(np.sqrt(value @ value), 1e-12)))
-    signs = np.array([1.0 if r["label"] else -1.0 for r in chosen])
+    rows, labels = _sampled(labelled, ratio, sample)
+    signs = np.where(np.array(labels) > 0, 1.0, -1.0)
     # Margins for the curve come from rows that the fit has not seen.
     half = np.array([i % 5 == 0 for i in range(len(rows))])
     kept = [r for r, h in zip(rows, half, strict=True) if not h]
-    weights, bias = descend(kept, signs[~half])
-    margins = np.array([weights[at] @ v + bias for (at, v), h in zip(rows, half, strict=True) if h])
+    share, bias = descend(kept, signs[~half], ratio)
+    margins = np.array([share[at].sum() * scale + bias for (at, scale), h in zip(rows, half, strict=True) if h])
     # The sample is even; the curve is for the shares among all labelled texts.
-    share = np.array([sizes[int(s > 0)] / max(1, (signs == s).sum()) for s in signs[half]])
-    slope, shift = calibrate(margins, (signs[half] > 0).astype(float), share / share.mean())
-    weights, bias = descend(rows, signs)
-    return Model(ratio, weights, bias, slope, shift)
+    weight = np.array([sizes[int(s > 0)] / max(1, (signs == s).sum()) for s in signs[half]])
+    slope, shift = calibrate(margins, (signs[half] > 0).astype(float), weight / weight.mean())
+    share, bias = descend(rows, signs, ratio)
+    return Model(ratio, share, bias, slope, shift)
+
+
+def _sampled(labelled, ratio, sample):
+    """(cells, scale) and the label of each text that the machine is fitted on.
+
+    The sample is chosen by ids and sizes alone, and its texts are fetched one by one.
+    """
+    ids = []
+    for label in (0, 1):
+        known = labelled.where(F.col("label") == label).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n"))
+        room = SAMPLE_BYTES
+        for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
+            room -= r["n"] or 0
+            if room < 0 and ids:
+                break
+            ids.append((r["doc_id"], label))
+    wanted = labelled.sparkSession.createDataFrame(ids, "doc_id long, label int")
+    chosen = labelled.join(F.broadcast(wanted), ["doc_id", "label"], "left_semi").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    squares, rows, labels, chunk = ratio**2, [], [], []
+
+    def close():
+        # One array for many rows: large ones go back to the system when they are dropped.
+        data = np.concatenate(chunk) if chunk else np.zeros(0, np.int32)
+        begin = 0
+        for at in chunk:
+            length = float(np.sqrt(squares[at].sum()))
+            rows.append((data[begin : begin + len(at)], 1 / max(length, 1e-12)))
+            begin += len(at)
+        chunk.clear()
+
+    for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").toLocalIterator():
+        chunk.append(cells(r["text"]).astype(np.int32))
+        labels.append(r["label"])
+        if len(chunk) == CHUNK_ROWS:
+            close()
+    close()
+    return rows, labels
 
 
 def scored(docs: DataFrame, model, name="score") -> DataFrame:
