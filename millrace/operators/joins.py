@@ -75,8 +75,8 @@ def asof(
     `take` maps right columns to output names, null without a match. Right rows
     of equal time are ordered by `tie`; `left_id` orders equal left rows. Rows with a
     null key or time have no match. One
-    shuffle on `by` serves both sides: rows are stacked, and the last right row
-    seen is carried down.
+    shuffle serves both sides: rows are stacked, and the last right row seen is carried
+    down, from part to part where a group is cut.
     """
     by = as_list(by)
     # As in SQL, a null key or time matches nothing.

@@ -83,26 +83,64 @@ def quarantined(df: DataFrame, rules: Mapping[str, Column], errors="_errors") ->
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, nulls and exact distinct values.
+    """Per column: rows, nulls, exact distinct values, and the lowest and highest value as text.
 
-    Cells are counted as (column, value) first, which combines before the shuffle.
-    Timestamps with a zone count as instants.
+    Cells are counted as (column, value) first, which combines before the shuffle. The
+    extremes are taken in the type of the column, so that numbers and times compare as
+    such, by one aggregation without a shuffle of rows; only its single row is turned into
+    text. Maps have no order and no extremes. Timestamps with a zone count as instants.
     """
 
-    def value(field):
-        column = F.col(f"`{field.name}`")
+    def value(field, column):
         if isinstance(field.dataType, T.TimestampType):
             return F.unix_micros(column).cast("string")
-        return F.to_json(F.struct(column)) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else column.cast("string")
+        return _as_text(field, column)
 
-    pairs = [F.struct(F.lit(f.name).alias("column"), value(f).alias("value")) for f in df.schema.fields]
+    fields = df.schema.fields
+    if not fields:
+        return df.sparkSession.createDataFrame([], PROFILE)
+    pairs = [F.struct(F.lit(f.name).alias("column"), value(f, F.col(f"`{f.name}`")).alias("value")) for f in fields]
     cells = df.select(F.inline(F.array(*pairs)))
     counted = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column").agg(
+    counted = counted.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
         F.count("value").alias("distinct_values"),
     )
+    ordered = [(i, f) for i, f in enumerate(fields) if not _has_map(f.dataType)]
+    extremes = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[g(f"`{f.name}`").alias(f"{name}{i}") for i, f in ordered for g, name in ((F.min, "low"), (F.max, "high"))],
+    )
+    none = F.lit(None).cast("string")
+    texts = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            *[
+                (none if _has_map(f.dataType) else _as_text(f, F.col(f"{side}{i}"))).alias(name)
+                for side, name in (("low", "lowest"), ("high", "highest"))
+            ],
+        )
+        for i, f in enumerate(fields)
+    ]
+    # One row per column of the table.
+    return counted.join(F.broadcast(extremes.select(F.inline(F.array(*texts)))), "column")
+
+
+PROFILE = "column string, rows long, nulls long, distinct_values long, lowest string, highest string"
+
+
+def _as_text(field, column):
+    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+    if not nested:
+        return column.cast("string")
+    return F.when(column.isNotNull(), F.to_json(F.struct(column.alias(field.name))))
+
+
+def _has_map(kind):
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.copies import numbered_copies
 from millrace.functions.text import stable_bucket
 
 
@@ -24,9 +25,10 @@ def _counted(a, b):
 
 
 def _repeated(counted, n, copies):
+    """The rows once, or `n` times; the copies of a frequent row are dealt over all tasks."""
     if copies:
-        counted = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-    return counted.drop("_l", "_r", "_i")
+        counted = numbered_copies(counted.withColumn("_n", n), "_n", "_i")
+    return counted.drop("_l", "_r", "_n", "_i")
 
 
 def common(a: DataFrame, b: DataFrame, copies=False) -> DataFrame:

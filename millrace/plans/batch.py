@@ -38,17 +38,17 @@ def conform_orders(spark, folder):
 
 @query(
     "parse_event_payload",
-    """WITH e AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN props || '{{' WHEN event_id % 10 = 1 THEN '  '
-                          WHEN event_id % 10 = 2 THEN NULL ELSE props END AS p FROM events)
-SELECT event_id, CASE WHEN event_id % 10 > 2 THEN CAST(json_extract_string(p, '$.k') AS INTEGER) END AS k,
-       CASE WHEN event_id % 10 = 1 THEN p END AS _corrupt
-FROM e WHERE event_id % 10 > 0""".replace("{{", "{"),
+    """WITH e AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN '  '
+                          WHEN 2 THEN NULL WHEN 3 THEN '{"k": "x"}' ELSE props END AS p FROM events)
+SELECT event_id, CASE WHEN event_id % 10 > 3 THEN CAST(json_extract_string(p, '$.k') AS INTEGER) END AS k,
+       CASE WHEN event_id % 10 IN (0, 1, 3) THEN p END AS _corrupt
+FROM e""",
 )
 def parse_event_payload(spark, folder):
-    """Blank and null payloads are planted by a rule on the id."""
-    n = F.col("event_id") % 10
-    payload = F.when(n == 1, "  ").when(n > 2, F.col("props"))
-    events = table(spark, folder, "events").where(n > 0).select("event_id", payload.alias("props"))
+    """Broken, blank and null payloads, and one of a wrong type, are planted by a rule on the id."""
+    n, props = F.col("event_id") % 10, F.col("props")
+    payload = F.when(n == 0, F.expr("left(props, length(props) - 1)")).when(n == 1, "  ").when(n == 3, '{"k": "x"}').when(n > 3, props)
+    events = table(spark, folder, "events").select("event_id", payload.alias("props"))
     return quality.parse_payload(events, "props", "k int")
 
 
@@ -92,7 +92,8 @@ _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o
     "profile_orders",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls,"
-        f" count(DISTINCT {c}) AS distinct_values FROM orders"
+        f" count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS VARCHAR) AS lowest,"
+        f" CAST(max({c}) AS VARCHAR) AS highest FROM orders"
         for c in _ORDER_COLUMNS
     ),
 )

@@ -4,7 +4,8 @@ import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, joins, merge, quality, windows
+from millrace.functions.copies import numbered_copies
+from millrace.operators import aggregates, joins, merge, quality, sets, windows
 from millrace.sources.tables import read_table, write_partitioned
 
 
@@ -84,3 +85,49 @@ def test_outer_joins_are_inner_and_anti(spark):
     for how in ("left", "full"):
         want = a.join(b, a["a"] == b["b"], how)
         assert sorted(map(str, joins.join_facts(a, b, {"a": "b"}, how).collect())) == sorted(map(str, want.collect()))
+
+
+def test_profile_compares_in_the_type_of_the_column(spark):
+    df = spark.sql(
+        "select * from values (9, 9.5D, '9', timestamp_ntz '2024-01-09 00:00:00', array(9), map('a', 1), null),"
+        " (10, 10.5D, '10', timestamp_ntz '2023-12-31 00:00:00', array(10, 1), map('a', 1), null),"
+        " (null, null, null, null, null, null, null) t(i, d, s, t, a, m, n)"
+    ).withColumn("n", F.lit(None).cast("int"))
+    found = {r["column"]: tuple(r)[1:] for r in quality.profile(df).collect()}
+    assert found["i"] == (3, 1, 2, "9", "10") and found["d"] == (3, 1, 2, "9.5", "10.5")
+    assert found["s"] == (3, 1, 2, "10", "9")
+    assert found["t"] == (3, 1, 2, "2023-12-31 00:00:00", "2024-01-09 00:00:00")
+    assert found["a"] == (3, 1, 2, '{"a":[9]}', '{"a":[10,1]}')
+    assert found["m"] == (3, 1, 1, None, None) and found["n"] == (3, 3, 0, None, None)
+    clash = df.select(F.col("i").alias("column"), F.col("i").alias("n"), F.col("i").alias("low0"))
+    assert rows(quality.profile(clash), "column", "lowest") == [("column", "9"), ("low0", "9"), ("n", "9")]
+
+
+def test_broken_payloads_keep_their_text(spark):
+    df = spark.createDataFrame([(1, '{"k":3'), (2, '{"k":"x"}'), (3, '{"k":3}')], "id int, p string")
+    assert rows(quality.parse_payload(df, "p", "k int"), "id", "k", "_corrupt") == [
+        (1, None, '{"k":3'), (2, None, '{"k":"x"}'), (3, 3, None),
+    ]
+
+
+def test_copies_of_a_frequent_row_are_spread(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "x")] * 40 + [(2, "y")] * 3 + [(None, None)] * 2, "k int, v string")
+    b = spark.createDataFrame([(1, "x")] * 10 + [(2, "y")] * 5, "k int, v string")
+    counted = [((1, "x"), 30), ((None, None), 2)]
+    assert sorted(map(str, sets.minus(a, b, True).collect())) == sorted(str(r) for r in a.exceptAll(b).collect())
+    assert sets.minus(a, b, True).count() == sum(n for _, n in counted)
+    big = spark.createDataFrame([(1, 1_000_000), (2, 3), (3, 0), (4, -1)], "k int, n long")
+    out = numbered_copies(big, "n", "i", chunk=1000)
+    assert rows(out.groupBy("k").agg(F.count_distinct("i"), F.min("i"), F.max("i"))) == [(1, 1_000_000, 0, 999_999), (2, 3, 0, 2)]
+    per_task = out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r["n"] for r in per_task) < 700_000
+
+
+def test_large_k_is_ranked_in_parts(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.xxhash64("id").alias("v"), "id", F.lit("x").alias("_of"))
+    order = [F.desc("v"), "id"]
+    want = rows(windows.top_k(df, "g", order, 700))
+    monkeypatch.setattr(windows, "LARGE_K", 10)
+    found = windows.top_k(df, "g", order, 700)
+    assert found.columns == df.columns and rows(found) == want and len(want) == 1400
+    assert rows(windows.top_k(df.where("id < 0"), "g", order, 700)) == []
