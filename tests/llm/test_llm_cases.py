@@ -409,7 +409,15 @@ def test_extraction_reads_on_behind_embedded_elements():
         "<p>One <math display='block'/> two</p><p>three</p>": "One two\n\nthree",
         "<p>One <svg><g><title/><text>two</text></g></svg> three</p>": "One two three",
         "<p>One <svg><path><p>two</p>": "One\n\ntwo",
-        "<p>One <svg style='display:none'><text>no</text></svg>two</p>": "One two",
+        "<p>One <svg style='display:none'><text>so</text></svg> two</p>": "One so two",
+        "<p>One <svg role=banner><text>no</text></svg>two</p>": "One two",
+        "<p>One</p><div hidden>two</div><p style='display:none'>three": "One\n\ntwo\n\nthree",
+        "<h2 class='section-header'>One</h2><h3 id='block-menu'>two</h3><p>three": "One\n\ntwo\n\nthree",
+        "<p>One <button>no</button>two": "One two",
+        "<p title='a>b' x=\"c>d\">One</p>": "One",
+        "<p title='a>One</p>": "One",
+        "<p>One <!-- no > no": "One",
+        "<p>One <b two": "One <b two",
         "<p>One <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> two</p>": "One x=1 two",
         "<p>One</p><object data=x><p>two</p></object><p>three</p>": "One\n\ntwo\n\nthree",
         "<p>One</p><object data=x><p>two</p>": "One\n\ntwo",
@@ -426,6 +434,20 @@ def test_extraction_reads_on_behind_embedded_elements():
         assert "\n\n".join(t for _, t, _ in extraction.Page(page).blocks) == want, page
 
 
+@pytest.mark.parametrize(
+    "pattern",
+    ["<p>a<b", "<div>", "<h1>", "<x>a", "<a b='", "<a b=\"'>", "<a '>' ", "<!--", "<!", "</", "<title>", "<svg><text>", "<option>", "<b>a<p>", "</p>", "<p>a</q>", "<td><table>", "<code role=menu>", "<p &lt;"],
+)
+def test_extraction_is_linear(pattern):
+    """A megabyte of broken html in a few seconds, and no more than twice as long for twice as much."""
+    import time
+
+    begin = time.process_time()
+    page = extraction.Page(pattern * (1_000_000 // len(pattern)) + "end")
+    page.main_text(page.best())
+    assert time.process_time() - begin < 12
+
+
 def test_neighbours_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 1.0]), (4, None), (5, []),
