@@ -156,3 +156,26 @@ def history(df: DataFrame, keys, ts: str, tie: str) -> DataFrame:
         return out.withColumnRenamed(ts, "valid_from")
 
     return each_group(df, keys, [ts, tie], body)
+
+
+#: Rows in one array.
+SEGMENT_ROWS = 1000
+
+
+def assemble(df: DataFrame, by, order, columns, name="rows", rows: int | None = None) -> DataFrame:
+    """Rows of each group in order as arrays of at most `rows` (default SEGMENT_ROWS) structs.
+
+    Gives `by`, `segment` (from 0), `first` (the number of its first row in the group, from
+    0) and the array `name` of structs of `columns`. Rows are numbered first, so a group
+    with very many rows is many segments, each put together and sorted by itself; no
+    array grows with the group. `order` must tell the rows of a group apart, or equal ones
+    stand in any order.
+    """
+    by, size = as_list(by), rows or SEGMENT_ROWS
+    numbered = each_group(df, by, order, lambda found: found.running_sum("_number", F.lit(1).cast("long")).df)
+    segment = F.floor((F.col("_number") - 1) / size)
+    made = numbered.select(*named(by), segment.alias("segment"), F.struct("_number", F.struct(*named(as_list(columns))).alias("row")).alias("_row"))
+    made = made.groupBy(*named(by), "segment").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    return made.select(
+        *named(by), "segment", (F.col("segment") * size).alias("first"), F.transform("_rows", lambda x: x["row"]).alias(name)
+    )

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalised, url_host, url_path
-from millrace.operators import aggregates, joins, merge, quality, sets, windows
+from millrace.operators import aggregates, joins, merge, quality, sets, texts, windows
 from millrace.plans.registry import query
 from millrace.session import scratch_path
 from millrace.sources.schemas import SCHEMAS
@@ -153,6 +153,69 @@ def canonical_page_urls(spark, folder):
     return table(spark, folder, "pages").select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
 
 
+# Words in both engines: runs of other characters than these.
+_WORDS = f"regexp_extract_all(text, '{texts.WORD}')"
+_PERSONAL = "|".join(f"({p})" for p in texts.PERSONAL.values())
+
+
+@query(
+    "redacted_documents",
+    f"""WITH h AS (SELECT doc_id, string_split_regex(text, '{_PERSONAL}') AS gap, regexp_extract_all(text, '{_PERSONAL}', 1) AS e,
+                  regexp_extract_all(text, '{_PERSONAL}', 2) AS i FROM documents)
+SELECT doc_id, list_reduce(list_prepend('', list_transform(range(1, len(gap) + 1), lambda k: gap[k] || CASE WHEN k = len(gap) THEN ''
+         WHEN e[k] <> '' THEN '<EMAIL>' ELSE '<IPV4>' END)), lambda a, b: a || b) AS redacted,
+       CAST(len(list_filter(e, lambda x: x <> '')) AS BIGINT) AS n_email, CAST(len(list_filter(i, lambda x: x <> '')) AS BIGINT) AS n_ipv4
+FROM h""",
+)
+def redacted_documents(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return texts.redact(docs, "text").drop("text")
+
+
+@query(
+    "document_signals",
+    rf"""WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\r\f]')) AS l
+                FROM documents),
+r AS (SELECT doc_id, max(n) AS longest FROM (
+        SELECT doc_id, g, count(*) AS n FROM (
+          SELECT doc_id, k - row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS g, line
+          FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM d)) GROUP BY doc_id, line, g) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0) AS mean_word_length,
+       (length(text) - length(regexp_replace(text, '{texts.SYMBOL}', '', 'g'))) / nullif(length(text), 0) AS symbol_share,
+       len(l) AS n_lines, (len(l) - len(list_distinct(l))) / nullif(len(l), 0) AS repeated_line_share,
+       coalesce(longest, 0) AS longest_run
+FROM d LEFT JOIN r USING (doc_id)""",
+)
+def document_signals(spark, folder):
+    return texts.quality_signals(table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query(
+    "document_chunks",
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(range(0, CAST(ceil(greatest(len(w) - 200, 0) / 150) AS BIGINT) + 1)) AS chunk FROM d WHERE len(w) > 0),
+t AS (SELECT *, array_to_string(w[chunk * 150 + 1:chunk * 150 + 200], ' ') AS text FROM c)
+SELECT doc_id, chunk, md5(doc_id || ':' || chunk || ':' || text) AS chunk_id, chunk * 150 AS first_word,
+       least(chunk * 150 + 200, len(w)) - 1 AS last_word, text FROM t""",
+)
+def document_chunks(spark, folder):
+    return texts.chunk(table(spark, folder, "documents"), "doc_id", "text", 200, 50)
+
+
+_GRAMS = f"""(SELECT doc_id, array_to_string(w[k:k + 2], ' ') AS gram FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))"""
+
+
+@query("document_ngrams", f"SELECT doc_id, gram, count(*) AS n FROM {_GRAMS} GROUP BY ALL")
+def document_ngrams(spark, folder):
+    return texts.ngrams(table(spark, folder, "documents"), "doc_id", "text", 3)
+
+
+@query("ngram_counts", f"SELECT gram, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM {_GRAMS} GROUP BY gram")
+def ngram_counts(spark, folder):
+    return texts.ngram_counts(table(spark, folder, "documents"), "text", 3)
+
+
 @query(
     "enrich_customers",
     """SELECT c_custkey, c_nationkey, n_name, r_name FROM customer
@@ -345,6 +408,17 @@ def rolling_day(spark, folder):
     return out.withColumn("total", F.round("total", 6))
 
 
+@query(
+    "conversation_segments",
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
+SELECT conv_id, k // 4 AS segment, k // 4 * 4 AS first, CAST(k % 4 AS INTEGER) AS place, turn, role, text FROM t""",
+)
+def conversation_segments(spark, folder):
+    """Turns put together in arrays of four, and laid out flat again."""
+    turns = windows.assemble(table(spark, folder, "conversations"), "conv_id", ["turn", "role", "text"], ["turn", "role", "text"], "turns", 4)
+    return turns.select("conv_id", "segment", "first", F.posexplode("turns").alias("place", "t")).select("conv_id", "segment", "first", "place", "t.*")
+
+
 @query(
     "top_orders_per_customer",
     """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
