@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions.groups import as_list
 from millrace.operators.windows import latest_per_key, top_k
 from millrace.session import checkpointed, scratch_path
+from millrace.sources import versions
 from millrace.sources.tables import read_table
 
+
 def dedupe_exact(df: DataFrame, content, keep: str) -> DataFrame:
     """One row per content, the one lowest in `keep`.
 
@@ -50,7 +52,7 @@ def upsert_partitions(path: str, schema, changes: DataFrame, keys, order, by: st
     touched. A partition that would lose its last row is refused before anything is
     written: this function replaces folders and never deletes one. Replacing partitions
     is not one atomic step: until the call returns readers should use a copy, and after a
-    failure in it the call must be repeated.
+    failure in it the call must be repeated. `upsert_versioned` has neither limit.
     """
     spark, keys = changes.sparkSession, as_list(keys)
     final = checkpointed(latest_per_key(changes, keys, order))
@@ -68,3 +70,21 @@ def upsert_partitions(path: str, schema, changes: DataFrame, keys, order, by: st
         raise ValueError(f"a partition of {path} would lose its last row")
     writer = merged.hint("rebalance", by).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def upsert_versioned(path: str, schema, changes: DataFrame, keys, order, by: str) -> int:
+    """`upsert` into the table of versions at `path`, partitioned by `by`; the new version's number.
+
+    Only the partitions of the changes and those that hold a changed key now are written
+    anew; the new version points to the old folders of the others. A partition may lose
+    its last row. Until the version is written, in one small last step, readers see the
+    table as it was; a call that was stopped before leaves it so, and can be repeated.
+    """
+    spark, keys = changes.sparkSession, as_list(keys)
+    before = versions.last_version(spark, path)
+    final = checkpointed(latest_per_key(changes, keys, order))
+    target = versions.read_versioned(spark, path, schema, before)
+    held = target.join(*_same_keys(target, final, keys), "left_semi")
+    touched = checkpointed(final.select(by).union(held.select(by)).distinct())
+    old, kept = versions.partition_rows(spark, path, schema, by, touched)
+    return versions.write_version(upsert(old, final, keys, order), path, by, kept, before)

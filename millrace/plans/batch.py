@@ -11,6 +11,7 @@ from millrace.plans.registry import query
 from millrace.session import scratch_path
 from millrace.sources.schemas import SCHEMAS
 from millrace.sources.tables import read_table, table, write_partitioned
+from millrace.sources.versions import read_versioned, write_version
 
 
 @query("read_orders", "SELECT * FROM orders")
@@ -503,6 +504,23 @@ def upsert_order_partitions(spark, folder):
     return read_table(spark, path, SCHEMAS["orders"])
 
 
+@query(
+    "upsert_order_versions",
+    """SELECT o_orderkey, o_custkey, 'C' AS o_orderstatus, o_totalprice, o_orderdate, '3-MEDIUM' AS o_orderpriority
+FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'""",
+)
+def upsert_order_versions(spark, folder):
+    """All orders of one priority move to another: its partition is empty afterwards."""
+    orders = table(spark, folder, "orders")
+    path = scratch_path(spark, "orders")
+    write_version(orders, path, "o_orderpriority")
+    changes = orders.where("o_orderpriority = '1-URGENT'").withColumn("o_orderstatus", F.lit("C"))
+    changes = changes.withColumn("o_orderpriority", F.lit("3-MEDIUM"))
+    merge.upsert_versioned(path, SCHEMAS["orders"], changes, "o_orderkey", "o_orderdate", "o_orderpriority")
+    return read_versioned(spark, path, SCHEMAS["orders"])
+
+
 @query(
     "event_versions",
     """SELECT user_id, event_id, event_type, value, ts AS valid_from, lead(ts) OVER w AS valid_to,
