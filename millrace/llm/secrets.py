@@ -2,13 +2,19 @@
 
 From each rule's regular expression a Boolean query of trigrams is derived that every
 match must satisfy: all groups, and of each group one alternative with all its
-trigrams. Only trigrams that some rule needs are posted, as rows (trigram, text key).
-Postings are intersected per text, which gives the rules each text is a candidate for;
-rules without mandatory trigrams scan every text. Candidates are verified with the
-expressions on whole texts. All of it is DataFrame work: no Python runs on executors.
-
-A text's key is a hash of its content, so copies are posted once, and a text that a
-third of all rows hold makes a handful of postings.
+trigrams. Of each string a match must hold, the first and the last trigram are asked for:
+a weaker query with fewer postings, whose candidates are verified in any case. The
+trigrams that some rule needs are posted, as rows (trigram, text key). The
+queries are a small table by trigram; postings are looked up in it, and intersected:
+by text and alternative, whose trigrams must all be there, then by group, then by rule.
+Rules without mandatory trigrams scan every text. Candidates are verified with the
+expressions on whole texts: their keys are broadcast to the texts if they were counted and
+weighed small, else texts are shuffled to them. All of it is DataFrame work: no Python
+runs on executors.
+
+A text's key is a 64-bit hash of its content, so copies are posted once, and a text that a
+third of all rows hold makes a handful of postings. Two texts with one key are candidates
+for each other's rules, which verification settles.
 
 Defined results: a null or empty text has no secrets. Spans count code points from 0,
 end exclusive. Repeated rows get the same result each.
@@ -16,12 +22,14 @@ end exclusive. Repeated rows get the same result each.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.sizing import broadcast_if_small
 from millrace.session import checkpointed
 
 
@@ -58,10 +66,12 @@ def trigram_query(pattern):
     groups = set()
 
     def grams(text):
-        return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+        return frozenset({text[:3], text[-3:]}) if len(text) >= 3 else frozenset()
 
     def close(strings):
-        # Strings that end here are one group, if all of them hold a trigram.
+        # Strings that end here are one group, if all of them hold a trigram. A string that
+        # holds another one asks for that in any case.
+        strings = {s for s in strings if not any(t != s and t in s for t in strings)}
         alternatives = {grams(s) for s in strings}
         if all(alternatives):
             # One that asks for more than another adds nothing.
@@ -102,8 +112,20 @@ def trigram_query(pattern):
     return groups
 
 
-def _key(text):
-    return F.md5(text)
+def _lookup(spark, queries):
+    """The queries as a table by trigram: `rule`, `clause`, `option`, and how many trigrams
+    the option has; and, by rule, how many clauses."""
+    rows, clauses = [], []
+    for rule, groups in queries.items():
+        clauses.append({"rule": rule, "clauses": len(groups)})
+        for k, group in enumerate(sorted(groups, key=sorted)):
+            for o, option in enumerate(sorted(group, key=sorted)):
+                rows += [{"trigram": t, "rule": rule, "clause": k, "option": o, "asked": len(option)} for t in sorted(option)]
+
+    def small(rows, schema):
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+    return small(rows, "trigram: string, rule: string, clause: int, option: int, asked: int"), small(clauses, "rule: string, clauses: int")
 
 
 def _candidates(texts, rules):
@@ -112,21 +134,14 @@ def _candidates(texts, rules):
     needed = sorted({t for q in queries.values() for g in q for a in g for t in a})
     folded = F.lower("text")
     held = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in needed]))
-    postings = texts.select(F.explode(held).alias("trigram"), "key").distinct()
-    # The postings of a text are at most the trigrams that rules need.
-    merged = postings.groupBy("key").agg(F.collect_set("trigram").alias("held"))
-    checks = []
-    for kind, groups in queries.items():
-        test = F.lit(True)
-        for group in groups:
-            some = F.lit(False)
-            for alternative in group:
-                wanted = F.array(*[F.lit(t) for t in sorted(alternative)])
-                some = some | (F.size(F.array_except(wanted, "held")) == 0)
-            test = test & some
-        checks.append(F.when(test, F.lit(kind)))
-    found = merged.select("key", F.array_compact(F.array(*checks)).alias("rules"))
-    return found.where(F.size("rules") > 0), set(queries)
+    postings = texts.select(F.explode(held).alias("trigram"), "key")
+    lookup, clauses = _lookup(texts.sparkSession, queries)
+    # As many rows as the rules have trigrams. A copy of a text adds no trigram.
+    hits = postings.join(F.broadcast(lookup), "trigram").groupBy("key", "rule", "clause", "option", "asked")
+    options = hits.agg(F.size(F.collect_set("trigram")).alias("met"))
+    met = options.where("met = asked").groupBy("key", "rule").agg(F.size(F.collect_set("clause")).alias("met"))
+    found = met.join(F.broadcast(clauses), "rule").where("met = clauses")
+    return found.groupBy("key").agg(F.collect_set("rule").alias("rules")), set(queries)
 
 
 def _spans(rule, order, text):
@@ -164,10 +179,9 @@ def _spans(rule, order, text):
 def find(docs: DataFrame, rules=RULES) -> DataFrame:
     """`doc_id`, `text` and, per rule, `spans_<kind>`: (start, at, label) of its secrets."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("key", _key(F.col("text")))
+    texts = texts.withColumn("key", F.xxhash64("text"))
     candidates, indexed = _candidates(texts, rules)
-    candidates = checkpointed(candidates).hint("shuffle_hash")
-    joined = texts.join(candidates, "key", "left")
+    joined = texts.join(broadcast_if_small(checkpointed(candidates)), "key", "left")
     none = F.expr("cast(array() as array<struct<start:int,at:int,label:string>>)")
     columns = []
     for order, rule in enumerate(rules):
