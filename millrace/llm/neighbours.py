@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are chosen from a bounded sample of the vectors, each next one the farthest from
-those before, so that a group of like vectors gives few of them. Every vector is represented by the order of
-all pivots by nearness, and posted in each pivot's inverted file with the pivot's place
-in that order. A query walks the files of all pivots, adding up differences of places
-(the footrule distance), keeps the fifth of the vectors that is nearest by it and all
-within a fixed radius, and ranks those by the exact measure. The radius matters where
-many vectors are nearly the same: more of them than a fifth are still all ranked.
+those before, so that a group of like vectors gives few of them. Every vector is
+represented by its POSTED nearest pivots in order. Vectors are indexed in blocks: each
+block holds one inverted file per pivot, with the vectors of the block that have it among
+their nearest, and at which place. A query walks the files of its own nearest pivots
+alone. Each posting adds what the footrule distance falls short of its most: a pivot that
+one of them lacks counts as if it stood behind the last place. The share of a block that
+is nearest so, and all vectors that are nearly as near as can be, are ranked by the exact
+measure. These last matter where many vectors are nearly the same: more of them than the
+share are still all ranked.
 
 Inner products depend on lengths and orders of pivots do not, so vectors first get one
 more component that brings them to equal length (none for queries), which makes the
 nearest in angle the largest in inner product.
 
-Queries are broadcast in blocks of bounded size, and each index partition answers all
-of a block; only its best are shuffled.
+Queries are broadcast in blocks of bounded size, and each index block answers all of
+them; only its best are shuffled.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or
 with null or non-finite components take no part. Rows repeated under one id are
-candidates each, but none of a query's own id. Ties go to the smaller id.
+candidates each, but none of a query's own id; the query's vector is then the lowest of
+its id. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -29,15 +33,14 @@ from pyspark.sql.window import Window
 
 from millrace.session import scratch_path
 
-PIVOTS = 128
+#: Pivots, and those of them that a vector is posted under.
+PIVOTS, POSTED = 512, 128
 #: Vectors that pivots are chosen from at most.
 PIVOT_SAMPLE = 2048
 NEAREST = 20
-#: Share of the vectors that is ranked exactly, and the footrule distance (of at most
-#: PIVOTS^2 / 2) within which all are.
-SHARE, RADIUS = 0.2, 1500
-#: At least so many times the neighbours asked for are ranked exactly.
-LEAST = 20
+#: Share of a block that is ranked exactly, and the share of the footrule's most from
+#: which on all are.
+SHARE, ALIKE = 0.25, 0.85
 BLOCK_QUERIES = 16_384
 BATCH_ROWS = 8192
 
@@ -62,12 +65,27 @@ def _lifted(x, longest):
     return np.column_stack([x, rest])
 
 
-def _places(nearness):
-    """For rows of nearness to each pivot: each pivot's place in the order, from 0."""
-    order = np.argsort(-nearness, axis=1, kind="stable")
-    places = np.empty(order.shape, np.uint8 if order.shape[1] <= 256 else np.uint16)
-    np.put_along_axis(places, order, np.arange(order.shape[1], dtype=places.dtype)[None, :], axis=1)
-    return places
+def _order(nearness, posted):
+    """For rows of nearness to each pivot: the nearest pivots, in order."""
+    return np.argsort(-nearness, axis=1, kind="stable")[:, :posted].astype(np.int16)
+
+
+def _files(order, pivots):
+    """Inverted files of a block: where each pivot's begins, and vectors and places of all."""
+    pivot = order.ravel()
+    by_pivot = np.argsort(pivot, kind="stable")
+    first = np.searchsorted(pivot[by_pivot], np.arange(pivots + 1))
+    vector, place = np.divmod(by_pivot, max(1, order.shape[1]))
+    return first.astype(np.int32), vector.astype(np.int32), place.astype(np.int16)
+
+
+def _gains(order, first, vector, place, count):
+    """By how much each of `count` vectors is nearer to a query than the farthest can be."""
+    begin, size = first[order], first[order + 1] - first[order]
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    off = np.abs(place[at] - np.repeat(np.arange(len(order)), size))
+    return np.bincount(vector[at], weights=len(order) - off, minlength=count)
 
 
 def _spread(x, count):
@@ -80,33 +98,46 @@ def _spread(x, count):
     return x[chosen]
 
 
-def build(vectors: DataFrame, pivots=PIVOTS):
-    """The stored index (vec_id, vector, places), and the pivots with the longest length."""
+_BLOCK = "ids binary, vectors binary, first binary, members binary, places binary"
+
+
+def build(vectors: DataFrame, pivots=PIVOTS, posted=POSTED):
+    """The stored index, one row per block of vectors with its inverted files, the stored
+    vectors (vec_id, vector), and the pivots."""
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    kept = scratch_path(spark, "vectors")
+    usable(vectors).write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(PIVOT_SAMPLE).collect()
     longest = rows.agg(F.sqrt(F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)")))).first()[0] or 1.0
     given = np.array([r["vector"] for r in sample]) if sample else np.zeros((0, 1))
     lifted = _spread(_lifted(given, longest), pivots) if sample else given
 
     def post(batches):
+        import pandas as pd
+
         for batch in batches:
             if len(batch):
-                x = _lifted(np.stack(batch["vector"].to_numpy()), longest)
-                yield batch.assign(places=[p.tobytes() for p in _places(x @ lifted.T)])
+                x = np.stack(batch["vector"].to_numpy())
+                files = _files(_order(_lifted(x, longest) @ lifted.T, posted), len(lifted))
+                columns = (batch["vec_id"].to_numpy(), x, *files)
+                yield pd.DataFrame([[c.tobytes() for c in columns]], columns=["ids", "vectors", "first", "members", "places"])
 
-    path = scratch_path(spark, "permutations")
-    rows.mapInPandas(post, "vec_id long, vector array<double>, places binary").write.parquet(path)
-    return spark.read.parquet(path), lifted
+    path = scratch_path(spark, "pivot-files")
+    rows.mapInPandas(post, _BLOCK).write.parquet(path)
+    return spark.read.parquet(path), rows, lifted
 
 
-def search(index: DataFrame, pivots, queries: DataFrame, nearest=NEAREST, share=SHARE, radius=RADIUS) -> DataFrame:
+def search(
+    index: DataFrame, pivots, queries: DataFrame, nearest=NEAREST, posted=POSTED, share=SHARE, alike=ALIKE
+) -> DataFrame:
     """The `nearest` of the index to each of `queries` (vec_id, vector): query_id, rank,
     vec_id, score. Stated queries against all rows, in blocks of BLOCK_QUERIES."""
     spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # A row is a block of vectors.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    kind = np.uint8 if len(pivots) <= 256 else np.uint16
     found = None
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
@@ -115,36 +146,35 @@ def search(index: DataFrame, pivots, queries: DataFrame, nearest=NEAREST, share=
         ids = np.array([r["vec_id"] for r in part], np.int64)
         x = np.array([r["vector"] for r in part]) if part else np.zeros((0, 1))
         # A query has no last component: it adds nothing to an inner product.
-        places = _places(np.column_stack([x, np.zeros(len(x))]) @ pivots.T) if part else np.zeros((0, len(pivots)), kind)
-        shared = spark.sparkContext.broadcast((ids, x, places))
+        orders = _order(np.column_stack([x, np.zeros(len(x))]) @ pivots.T, posted) if part else np.zeros((0, 0), np.int16)
+        shared = spark.sparkContext.broadcast((ids, x, orders))
 
         def answer(batches, shared=shared):
-            ids, x, places = shared.value
-            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-            for batch in batches:
-                if not len(batch):
-                    continue
-                names = batch["vec_id"].to_numpy()
-                vectors = np.stack(batch["vector"].to_numpy())
-                # One inverted file per pivot: the pivot's place for every vector posted.
-                files = np.stack([np.frombuffer(p, kind) for p in batch["places"]]).T.astype(np.int16)
-                files = np.ascontiguousarray(files)
-                count = min(len(names), max(int(np.ceil(share * len(names))), LEAST * nearest))
-                for i in range(len(ids)):
-                    away = np.abs(files - places[i].astype(np.int16)[:, None]).sum(0, dtype=np.int32)
-                    bound = max(radius, np.partition(away, count - 1)[count - 1])
-                    near = np.flatnonzero((away <= bound) & (names != ids[i]))
-                    # Row by row, so that equal vectors get equal scores.
-                    score = (vectors[near] * x[i]).sum(1)
-                    name = np.concatenate([best[i][0], names[near]])
-                    score = np.concatenate([best[i][1], score])
-                    if len(name) > nearest:
-                        keep = np.flatnonzero(score >= np.partition(score, -nearest)[-nearest])
-                        keep = keep[np.lexsort((name[keep], -score[keep]))[:nearest]]
-                        name, score = name[keep], score[keep]
-                    best[i] = name, score
             import pandas as pd
 
+            ids, x, orders = shared.value
+            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    names = np.frombuffer(row.ids, np.int64)
+                    vectors = np.frombuffer(row.vectors, np.float64).reshape(len(names), -1)
+                    first, members = np.frombuffer(row.first, np.int32), np.frombuffer(row.members, np.int32)
+                    places = np.frombuffer(row.places, np.int16)
+                    # One more than asked for, as the query itself may be among them.
+                    count = min(len(names), max(int(np.ceil(share * len(names))), nearest + 1))
+                    for i in range(len(ids)):
+                        gain = _gains(orders[i].astype(np.int64), first, members, places, len(names))
+                        least = min(np.partition(gain, -count)[-count], alike * orders.shape[1] ** 2)
+                        near = np.flatnonzero((gain >= least) & (names != ids[i]))
+                        # Row by row, so that equal vectors get equal scores.
+                        score = (vectors[near] * x[i]).sum(1)
+                        name = np.concatenate([best[i][0], names[near]])
+                        score = np.concatenate([best[i][1], score])
+                        if len(name) > nearest:
+                            keep = np.flatnonzero(score >= np.partition(score, -nearest)[-nearest])
+                            keep = keep[np.lexsort((name[keep], -score[keep]))[:nearest]]
+                            name, score = name[keep], score[keep]
+                        best[i] = name, score
             if len(ids):
                 yield pd.DataFrame(
                     {
@@ -163,6 +193,6 @@ def search(index: DataFrame, pivots, queries: DataFrame, nearest=NEAREST, share=
 
 def report(vectors: DataFrame) -> DataFrame:
     """Neighbours of every vector whose id is divisible by 20, among all others."""
-    index, pivots = build(vectors)
-    queries = index.where("vec_id % 20 = 0").select("vec_id", "vector").dropDuplicates(["vec_id"])
+    index, rows, pivots = build(vectors)
+    queries = rows.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     return search(index, pivots, queries)

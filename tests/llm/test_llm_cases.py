@@ -477,6 +477,37 @@ def test_neighbours_in_a_dense_group(spark):
     assert np.mean(hits) >= 0.95
 
 
+def test_neighbours_of_varied_lengths_however_cut(spark):
+    """Norms that differ widely, and several partitionings: recall stays, scores are exact."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 48)) * np.exp(0.4 * rng.normal(size=(3000, 1)))
+    vectors = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for parts in (1, 5):
+        found = neighbours.report(vectors.repartition(parts)).toPandas()
+        hits = []
+        for i, rows in found.groupby("query_id"):
+            score = x @ x[i]
+            score[i] = -np.inf
+            hits.append(len(set(np.argsort(-score)[:20]) & set(rows["vec_id"])) / 20)
+            assert np.allclose(rows["score"], score[rows["vec_id"]], rtol=0, atol=1e-9)
+        assert len(hits) == 150 and np.mean(hits) >= 0.95 and min(hits) >= 0.6
+
+
+def test_neighbours_come_from_posted_rows():
+    """What a query gets from the files is what the orders of pivots say, one by one."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(300, 40))
+    orders = neighbours._order(near, 12)
+    files = neighbours._files(orders, 40)
+    for q in (0, 7):
+        want = []
+        for v in range(300):
+            place = {p: k for k, p in enumerate(orders[v].tolist())}
+            want.append(sum(12 - abs(place[p] - k) for k, p in enumerate(orders[q].tolist()) if p in place))
+        got = neighbours._gains(orders[q].astype(np.int64), *files, 300)
+        assert got.tolist() == want and want[q] == max(want) == 144
+
+
 def test_secrets_odd_rows(spark, odd):
     code = "AKIA" + "B7" * 10
     rows = [
