@@ -7,12 +7,19 @@ merges all its places at once, from the left where they overlap. Merged symbols
 form pairs of higher rank, so this is the order of the usual algorithm. Sequences
 without a pair left leave the array; what counts is how many symbols they have.
 
+A very long pre-token would make every round look at all of it for a few places. One of
+more than LONG bytes is an array of its own: places are kept by the rank of their pair, the
+lowest rank is taken at all its places at once, and only the pairs beside them are looked
+up anew. A rank comes up once, as new pairs hold the new symbol, so the work is in
+proportion to the length and not to length times rounds.
+
 Defined results: null and empty texts have no bytes and no tokens. Repeated rows are
-counted each for itself. Very long pre-tokens take more rounds, not more memory.
+counted each for itself.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -23,6 +30,8 @@ from pyspark.sql import types as T
 from millrace.llm.batches import map_rows
 
 LIMIT = 512
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 2048
 #: Pre-tokens that a worker remembers the counts of.
 CACHED = 1_000_000
 
@@ -54,6 +63,8 @@ def read_vocabulary(text):
         "byte": np.array([vocab[letters[b]] for b in range(256)], np.int64),
         "pair": pairs[order],
         "rank": order.astype(np.int64),
+        "by_rank": pairs,
+        "made": np.array([vocab[a + b] for a, b in merges], np.int64),
         "make": np.array([vocab[a + b] for a, b in merges], np.int64)[order],
         "special": [t["content"] for t in model["added_tokens"]],
     }
@@ -62,8 +73,67 @@ def read_vocabulary(text):
 NONE = np.iinfo(np.int64).max
 
 
+def _alternate(at, follows):
+    """Of overlapping places (one symbol repeated) every other one, from the left."""
+    group = np.cumsum(~follows) - 1
+    first = np.flatnonzero(~follows)
+    return at[(np.arange(len(at)) - first[group]) % 2 == 0]
+
+
+def long_count(word, vocabulary):
+    """Number of symbols that one long word (bytes) is merged to."""
+    pair, rank = vocabulary["pair"], vocabulary["rank"]
+    by_rank, made = vocabulary["by_rank"], vocabulary["made"]
+    symbol = vocabulary["byte"][np.frombuffer(word, np.uint8)]
+    n = len(symbol)
+    # The symbols before and after each one that is left; a symbol stands where it begins.
+    after, before, left = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    places, waiting, count = {}, [], n
+
+    def look(at):
+        """Puts the pairs that begin at `at` under their ranks."""
+        key = symbol[at] << 32 | symbol[after[at]]
+        found = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+        known = pair[found] == key
+        at, ranks = at[known], rank[found[known]]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        for r, some in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(at) else [], np.split(at, cuts), strict=False):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(waiting, r)
+            places[r].append(some)
+
+    look(np.arange(n - 1))
+    while waiting:
+        r = heapq.heappop(waiting)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[left[at]]
+        at = at[after[at] < n]
+        at = at[symbol[at] << 32 | symbol[after[at]] == by_rank[r]]
+        if by_rank[r] >> 32 == by_rank[r] & 0xFFFFFFFF and len(at):
+            at = _alternate(at, np.concatenate([[False], after[at[:-1]] == at[1:]]))
+        if not len(at):
+            continue
+        gone = after[at]
+        symbol[at], left[gone] = made[r], False
+        after[at] = after[gone]
+        inner = after[at] < n
+        before[after[at[inner]]] = at[inner]
+        count -= len(at)
+        look(np.unique(np.concatenate([before[at][before[at] >= 0], at[inner]])))
+    return count
+
+
 def merged_counts(words, vocabulary):
     """Number of symbols that each of `words` (bytes, none empty) is merged to."""
+    if any(len(w) > LONG for w in words):
+        counts = np.array([long_count(w, vocabulary) if len(w) > LONG else 0 for w in words], np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            counts[short] = merged_counts([words[i] for i in short], vocabulary)
+        return counts
     sizes = np.array([len(w) for w in words], np.int64)
     symbol = vocabulary["byte"][np.frombuffer(b"".join(words), np.uint8)]
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -80,14 +150,10 @@ def merged_counts(words, vocabulary):
         runs = np.diff(np.append(begins, len(symbol)))
         low = np.repeat(lowest, runs)
         hit = (ranks == low) & (low != NONE)
-        # Of overlapping places (one symbol repeated) every other one, from the left.
         at = np.flatnonzero(hit)
         if not len(at):
             break
-        follows = np.diff(at, prepend=at[0] - 2) == 1
-        group = np.cumsum(~follows) - 1
-        first = np.flatnonzero(~follows)
-        at = at[(np.arange(len(at)) - first[group]) % 2 == 0]
+        at = _alternate(at, np.diff(at, prepend=at[0] - 2) == 1)
         symbol[at] = make[found[at]]
         stay = np.ones(len(symbol), bool)
         stay[at + 1] = False

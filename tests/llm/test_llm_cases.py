@@ -288,6 +288,22 @@ def test_token_counts_odd_rows(spark, odd):
     assert counter.counts(cases) == [len(plain.encode(c, add_special_tokens=False).ids) for c in cases]
 
 
+def test_token_counts_of_long_pre_tokens():
+    """Runs without a break: as the library has them, in time in proportion to their length."""
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    code = vocabulary("byte_bpe_50k.json")
+    plain, counter = tokenizers.Tokenizer.from_str(code), token_counts.Counter(token_counts.read_vocabulary(code))
+    rng = random.Random(8)
+    makers = [lambda n: "".join(rng.choices("etaoinshrdlu", k=n)), lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)), lambda n: "a" * n, lambda n: "ab" * (n // 2), lambda n: "=-" * (n // 2)]
+    cases = [make(n) for make in makers for n in (1000, 2500, 20_000)]
+    assert counter.counts(cases) == [len(plain.encode(c, add_special_tokens=False).ids) for c in cases]
+    begin = time.process_time()
+    counter.counts([makers[0](2_000_000)])
+    assert time.process_time() - begin < 60
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_odd_rows(spark, odd, module, label):
     labels = "doc_id long, quality int, toxic int"
