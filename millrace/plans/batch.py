@@ -252,16 +252,33 @@ def join_left_orders(spark, folder):
 
 @query(
     "join_full_orders_customers",
-    """SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_custkey % 3 > 0) o
-FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o_custkey = c_custkey""",
+    "SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer ON o_custkey = c_custkey",
 )
 def join_full_orders_customers(spark, folder):
-    """The modulo only makes rows without a partner on both sides."""
-    orders = table(spark, folder, "orders").where("o_custkey % 3 > 0").select("o_orderkey", "o_custkey")
-    customers = table(spark, folder, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, folder, "customer").select("c_custkey")
     return joins.join_facts(orders, customers, {"o_custkey": "c_custkey"}, "full").drop("o_custkey")
 
 
+_DAILY = "SELECT user_id AS {0}_user, CAST(ts AS DATE) AS {0}_day, count(*) AS {0}s FROM events WHERE event_type = '{0}' GROUP BY ALL"
+
+
+@query(
+    "join_full_user_days",
+    f"""SELECT * FROM ({_DAILY.format("view")}) v FULL JOIN ({_DAILY.format("purchase")}) p
+ON view_user = purchase_user AND view_day = purchase_day""",
+)
+def join_full_user_days(spark, folder):
+    """Days on which a user viewed or bought: many on either side have no partner."""
+    events = table(spark, folder, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    sides = [
+        events.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias(f"{kind}_user"), F.col("day").alias(f"{kind}_day"))
+        .agg(F.count(F.lit(1)).alias(f"{kind}s"))
+        for kind in ("view", "purchase")
+    ]
+    return joins.join_facts(*sides, {"view_user": "purchase_user", "view_day": "purchase_day"}, "full")
+
+
 @query("customers_with_orders", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def customers_with_orders(spark, folder):
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
@@ -442,12 +459,12 @@ def stable_order_sample(spark, folder):
 @query(
     "stack_events",
     """SELECT event_id, user_id, NULL::DOUBLE AS value FROM events WHERE event_type = 'view'
-UNION ALL SELECT event_id, NULL, value FROM events WHERE event_type = 'purchase'""",
+UNION ALL SELECT event_id, NULL, value FROM events WHERE event_type <> 'view'""",
 )
 def stack_events(spark, folder):
     events = table(spark, folder, "events")
     views = events.where("event_type = 'view'").select("event_id", "user_id")
-    return sets.stack(views, events.where("event_type = 'purchase'").select("event_id", "value"))
+    return sets.stack(views, events.where("event_type <> 'view'").select("event_id", "value"))
 
 
 for _name, _function, _word in (("common", sets.common, "INTERSECT"), ("minus", sets.minus, "EXCEPT")):

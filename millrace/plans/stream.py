@@ -104,9 +104,11 @@ FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts BETWEEN v.ts AND v
 WHERE v.event_type = 'view' AND p.event_type = 'purchase'""",
 )
 def stream_match(spark, folder):
-    kept = ["event_id", "user_id", "ts"]
-    views = _events(spark, folder).where("event_type = 'view'").select(*kept)
-    purchases = _events(spark, folder).where("event_type = 'purchase'").select(*kept)
+    kept, landing = ["event_id", "user_id", "ts"], _landed(spark, folder)
+    views, purchases = (
+        read_event_stream(spark, landing, SCHEMAS["events"], "ts").where(F.col("event_type") == kind).select(*kept)
+        for kind in ("view", "purchase")
+    )
     pairs = rows.match(views, purchases, "user_id", "ts", "ts", 3600, "1 hour", "p_")
     return _stored(run_stream(pairs.drop("p_user_id"), "match"))
 
