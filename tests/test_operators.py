@@ -131,3 +131,15 @@ def test_large_k_is_ranked_in_parts(spark, monkeypatch):
     found = windows.top_k(df, "g", order, 700)
     assert found.columns == df.columns and rows(found) == want and len(want) == 1400
     assert rows(windows.top_k(df.where("id < 0"), "g", order, 700)) == []
+
+
+def test_estimates_stay_within_their_error(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50_000).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double").alias("v"))
+    for r in aggregates.distinct_estimate(df, "g", "k", 0.02).collect():
+        assert abs(r["distinct_values"] - 25_000) < 4 * 0.02 * 25_000
+    ps = [0.01, 0.5, 0.99]
+    exact = {g: sorted(r["v"] for r in df.where(F.col("g") == g).select("v").collect()) for g in (0, 1)}
+    for r in aggregates.quantiles_estimate(df, "g", "v", ps, 1000).collect():
+        values = exact[r["g"]]
+        place = sum(v <= r["value"] for v in values) / len(values)
+        assert abs(place - r["p"]) <= 2 / 1000
