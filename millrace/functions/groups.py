@@ -37,8 +37,11 @@ def named(names):
 def large_groups(df: DataFrame, by, rows: int) -> DataFrame | None:
     """The groups with more than `rows` rows and their number `__n`; None if there are none.
 
-    They are at most as many as the table's rows divided by `rows`.
+    They are at most as many as the table's rows divided by `rows`. A table that has no more
+    rows than that in all, which a plain scan knows from its files, is not grouped.
     """
+    if df.count() <= rows:
+        return None
     counted = df.groupBy(*named(by)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
     return None if counted.isEmpty() else checkpointed(counted)
 
