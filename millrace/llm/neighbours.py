@@ -34,13 +34,13 @@ from pyspark.sql.window import Window
 from millrace.session import scratch_path
 
 #: Pivots, and those of them that a vector is posted under.
-PIVOTS, POSTED = 512, 128
+PIVOTS, POSTED = 512, 64
 #: Vectors that pivots are chosen from at most.
 PIVOT_SAMPLE = 2048
 NEAREST = 20
 #: Share of a block that is ranked exactly, and the share of the footrule's most from
 #: which on all are.
-SHARE, ALIKE = 0.25, 0.85
+SHARE, ALIKE = 0.3, 0.85
 BLOCK_QUERIES = 16_384
 BATCH_ROWS = 8192
 
@@ -81,11 +81,12 @@ def _files(order, pivots):
 
 def _gains(order, first, vector, place, count):
     """By how much each of `count` vectors is nearer to a query than the farthest can be."""
-    begin, size = first[order], first[order + 1] - first[order]
-    ends = np.cumsum(size)
-    at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-    off = np.abs(place[at] - np.repeat(np.arange(len(order)), size))
-    return np.bincount(vector[at], weights=len(order) - off, minlength=count)
+    files = [slice(first[p], first[p + 1]) for p in order.tolist()]
+    if not files:
+        return np.zeros(count)
+    stands = np.repeat(np.arange(len(order), dtype=np.int16), [f.stop - f.start for f in files])
+    off = np.abs(np.concatenate([place[f] for f in files]) - stands)
+    return np.bincount(np.concatenate([vector[f] for f in files]), weights=len(order) - off, minlength=count)
 
 
 def _spread(x, count):
