@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 PERSONAL = {"email": EMAIL, "ipv4": IPV4}
+# A sign that each hit of a pattern has, and a form with the same hits that reads a run of
+# signs once: within a run that no `@` follows, no later place can begin a hit either, so
+# only the first place of a run is tried, or the one after the last hit.
+NEEDED = {EMAIL: "@"}
+LINEAR = {EMAIL: r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 WORD = r"[^ \t\n\r\f]+"
 SYMBOL = r"[!-/:-@\[-`{-~]"
 
@@ -36,24 +41,39 @@ def redact(df: DataFrame, col: str, patterns: Mapping[str, str] = PERSONAL, text
     match no empty text, and be in the syntax that Java's and RE2's expressions share.
     A null text stays null, with zero hits.
     """
-    every = "|".join(f"({p})" for p in patterns.values())
-    none = F.array().cast("array<string>")
-    found = {
-        name: F.coalesce(F.regexp_extract_all(F.col(f"`{col}`"), F.lit(every), F.lit(i)), none)
-        for i, name in enumerate(patterns, 1)
-    }
-    # Per hit its mask: of each kind where its group has text, all laid over one another.
-
-    def laid(name, hits):
-        return F.transform(hits, lambda x: F.when(x != "", F.lit(f"<{name.upper()}>")).otherwise(""))
-
-    masks = [laid(name, hits) for name, hits in found.items()]
-    mask = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), masks)
-    gaps = F.split(F.col(f"`{col}`"), every, -1)
-    # One gap more than hits.
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(mask, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
-    counts = [F.size(F.filter(hits, lambda x: x != "")).cast("long").alias(f"n_{name}") for name, hits in found.items()]
-    return df.select("*", rebuilt.alias(text), *counts)
+    column, names = F.col(f"`{col}`"), list(patterns)
+    every = "|".join(f"({LINEAR.get(p, p)})" for p in patterns.values())
+    none = F.lit(0).cast("long")
+
+    def holds(some):
+        return column.rlike("|".join(f"(?:{LINEAR.get(p, p)})" for p in some))
+
+    # Most texts have no hit and are read once; a pattern that needs a sign is tried where it is.
+    tests = [column.contains(NEEDED[p]) & holds([p]) for p in patterns.values() if p in NEEDED]
+    others = [p for p in patterns.values() if p not in NEEDED]
+    tests += [holds(others)] if others else []
+    # Per hit the group of each kind but the last, which has the hits that no other has.
+    hits = [F.regexp_extract_all(column, F.lit(every), F.lit(i)).alias(f"g{i}") for i in range(1, len(names))]
+    found = F.struct(F.split(column, every, -1).alias("gaps"), *hits)
+
+    def rebuilt(x):
+        groups, n = [x[f"g{i}"] for i in range(1, len(names))], F.size(x["gaps"]) - 1
+        mask = F.array_repeat(F.lit(""), n)
+        for name, group in zip(names, groups):
+            mask = F.zip_with(mask, group, lambda m, g: F.when(g != "", F.lit(f"<{name.upper()}>")).otherwise(m))
+        mask = F.transform(mask, lambda m: F.when(m == "", F.lit(f"<{names[-1].upper()}>")).otherwise(m))
+        # One gap more than hits.
+        whole = F.array_join(F.zip_with(x["gaps"], F.concat(mask, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
+        counts = [F.size(F.filter(group, lambda g: g != "")) for group in groups]
+        counts.append(reduce(lambda a, b: a - b, counts, n))
+        return row(whole, [c.cast("long") for c in counts])
+
+    def row(whole, counts):
+        return F.struct(whole.alias(text), *[c.alias(f"n_{name}") for name, c in zip(names, counts)])
+
+    masked = F.transform(F.array(found), rebuilt)
+    plain = F.array(row(column, [none] * len(names)))
+    return df.select("*", F.inline(F.when(reduce(Column.__or__, tests), masked).otherwise(plain)))
 
 
 def quality_signals(df: DataFrame, col: str) -> DataFrame:

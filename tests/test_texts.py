@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -45,6 +46,29 @@ def test_redact_of_overlapping_kinds(spark):
     assert [found[f"n_{k}"] for k in kinds] == [1, 2, 3, 0]
 
 
+def test_redact_of_random_texts(spark):
+    """Kinds that begin or end within a run of signs, against Python's expressions."""
+    rng = random.Random(5)
+    made = ["".join(rng.choices("ab1.-@ _", (3, 3, 5, 5, 1, 4, 1, 1), k=rng.randint(1, 40))) for _ in range(5000)]
+    made += ["x@b.co1y@c.de", "1.2.3.4567@x.org", "a.1.2.3.4@b.c", "1.2.3.4a@b.cd", "@@a@b.co@c.de"]
+    for kinds in (texts.PERSONAL, dict(reversed(texts.PERSONAL.items())), {"email": texts.EMAIL}):
+        every, names = re.compile("|".join(f"({p})" for p in kinds.values())), list(kinds)
+        df = spark.createDataFrame(list(enumerate(made)), "id long, t string")
+        for r in texts.redact(df, "t", kinds).collect():
+            counts = Counter(m.lastindex for m in every.finditer(r["t"]))
+            want = every.sub(lambda m: f"<{names[m.lastindex - 1].upper()}>", r["t"])
+            assert (r["redacted"], *[r[f"n_{n}"] for n in names]) == (want, *[counts[i] for i in range(1, len(names) + 1)]), r["t"]
+
+
+def test_redact_reads_a_long_run_once(spark):
+    """A run of 300,000 signs was read from each of its places, for minutes."""
+    df = spark.createDataFrame([("x" * 300_000 + " a@b.co",)], "t string")
+    begun = time.time()
+    found = texts.redact(df, "t").first()
+    assert found["redacted"] == "x" * 300_000 + " <EMAIL>" and (found["n_email"], found["n_ipv4"]) == (1, 0)
+    assert time.time() - begun < 20
+
+
 def test_quality_signals(docs):
     found = {r["id"]: r for r in texts.quality_signals(docs, "text").collect()}
     for i, text in enumerate(TEXTS):
