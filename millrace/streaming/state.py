@@ -5,9 +5,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,11 +19,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def running_state(
     stream: DataFrame, by, processor: StatefulProcessor, schema: str, mode="update", times="None"
 ) -> DataFrame:
-    """Run a stateful processor per `by` value; it sees a key's rows in small batches.
+    """Run a stateful processor per `by` value; it sees a key's rows one by one, as Rows, and
+    yields Rows. Keys with few rows are most of the work, and a data frame for each cost more
+    than its state.
 
     `times` is the processor's time mode: "None", "ProcessingTime" or "EventTime".
     """
-    return stream.groupBy(*as_list(by)).transformWithStateInPandas(
+    return stream.groupBy(*as_list(by)).transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=times
     )
 
@@ -46,12 +47,18 @@ class RunningTotal(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("total", "n long, total double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
-        for batch in rows:
-            n, total = n + len(batch), total + float(batch[self.amount].sum())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # None if there is no state yet: one call instead of two.
+        n, total = self.state.get() or (0, 0.0)
+        added = 0.0
+        for row in rows:
+            n, value = n + 1, row[self.amount]
+            # Null and NaN are no amount.
+            if value is not None and value == value:
+                added += value
+        total += added
         self.state.update((n, total))
-        yield pd.DataFrame({"key": [key[0]], "salt": [key[1]], "rows": [n], "total": [total]})
+        yield Row(key=key[0], salt=key[1], rows=n, total=total)
 
     def close(self) -> None:
         pass

@@ -5,12 +5,13 @@ import datetime as dt
 import pytest
 from compare import rows
 from pyspark.errors.exceptions.captured import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.sources import streams
 from millrace.sources.streams import read_batches, read_event_stream, run_stream, write_batches
 from millrace.streaming import rows as stream_rows
-from millrace.streaming import windows
+from millrace.streaming import state, windows
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long"
 
@@ -103,3 +104,39 @@ def test_settings_are_put_back(spark):
         assert spark.conf.get(next(iter(before))) == next(iter(streams.STREAM_SETTINGS.values()))
         raise RuntimeError
     assert {n: spark.conf.get(n, None) for n in before} == before
+
+
+def test_a_total_asks_for_its_state_once():
+    """A key is rows in, one call for its state, one to keep it, and a row out: no frames."""
+
+    class Kept:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    total = state.RunningTotal("v")
+    total.state = Kept()
+    first = list(total.handleInputRows((7, 1), iter([Row(v=1.5), Row(v=None), Row(v=float("nan"))]), None))
+    second = list(total.handleInputRows((7, 1), iter([Row(v=2.0)]), None))
+    assert first == [Row(key=7, salt=1, rows=3, total=1.5)] and second == [Row(key=7, salt=1, rows=4, total=3.5)]
+    assert Kept.calls == ["get", "update"] * 2
+
+
+def test_totals_go_on_over_batches(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    made = spark.range(300).select("id", (F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("v"))
+    for k in range(3):
+        _land(made.where(F.col("id") % 3 == k), landing)
+    stream = state.salted(spark.readStream.schema("id long, k long, v double").option("maxFilesPerTrigger", 1).parquet(landing), "id")
+    with streams.stream_settings(spark):
+        totals = state.running_state(stream, ["k", "salt"], state.RunningTotal("v"), "key long, salt int, rows long, total double")
+        begun = write_batches(totals, out, str(tmp_path / "checkpoint"), "update")
+    begun.awaitTermination()
+    found = read_batches(spark, out, "update", ["key", "salt"]).groupBy("key").agg(F.sum("rows"), F.sum("total"))
+    assert rows(found) == rows(made.groupBy("k").agg(F.count(F.lit(1)), F.sum("v")))
