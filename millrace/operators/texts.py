@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import checkpointed
+
 # Patterns of personal data, in the order in which they are tried.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
@@ -24,6 +26,10 @@ NEEDED = {EMAIL: "@"}
 LINEAR = {EMAIL: r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 WORD = r"[^ \t\n\r\f]+"
 SYMBOL = r"[!-/:-@\[-`{-~]"
+# Of n-grams that are counted: how many words are numbered, and how many numbers of so many
+# bits go into one long.
+NUMBERED = 1 << 20
+PACKED, BITS = 3, 21
 
 
 def words(column) -> Column:
@@ -174,10 +180,66 @@ def ngrams(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
     return _gram_runs(df, [F.col(f"`{key}`").alias(key)], col, k)
 
 
+def _numbered_words(df, col) -> DataFrame:
+    """(word, id): the most frequent words, numbered from 1; at most about NUMBERED.
+
+    Any other word is written in full where numbers stand for words, so which words have
+    one settles the size of rows alone.
+    """
+    found = df.select(F.explode(words(F.col(f"`{col}`"))).alias("word"))
+    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).persist()
+    least, part, left = 0, 0, NUMBERED
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if r["words"] > left:  # of the words with the least number a part, by hash
+            least, part = r["n"], 1000 * left // r["words"]
+            break
+        left -= r["words"]
+    few = (F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < part)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
+    numbered = checkpointed(counted.where((F.col("n") > least) | few).select("word", place.cast("long").alias("id")))
+    counted.unpersist()
+    return numbered
+
+
+def _packed(df, numbered, k):
+    """`df` with its grams in columns `_p*`, numbers of PACKED words each, and `_rest`, the
+    words without a number (there 0), joined by one space; null if there are none."""
+    ids, rest = [], []
+    for i in range(1, k + 1):
+        first = F.col("gram") if i == k else F.substring_index("gram", " ", i)
+        word = first if i == 1 else F.substring_index(first, " ", -1)
+        df = df.withColumn(f"_w{i}", word).join(F.broadcast(numbered.toDF(f"_w{i}", f"_i{i}")), f"_w{i}", "left")
+        ids.append(F.coalesce(f"_i{i}", F.lit(0).cast("long")))
+        rest.append(F.when(F.col(f"_i{i}").isNull(), F.col(f"_w{i}")))
+    packs = [reduce(lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x), ids[i : i + PACKED]) for i in range(0, k, PACKED)]
+    rest = F.when(reduce(Column.__or__, [r.isNotNull() for r in rest]), F.concat_ws(" ", *rest))
+    # In this order of columns the nulls and zeros of a row repeat those of the row before.
+    return df.select(rest.alias("_rest"), *[p.alias(f"_p{i}") for i, p in enumerate(packs)], "n")
+
+
+def _unpacked(df, numbered, k):
+    """`df` with `gram`, which `_packed` made its columns of."""
+    others, parts, place = df.columns, [], F.lit(0)
+    for i in range(k):
+        pack = i // PACKED
+        last = min(k, (pack + 1) * PACKED) - 1
+        number = F.shiftright(f"_p{pack}", BITS * (last - i)).bitwiseAND(F.lit((1 << BITS) - 1))
+        df = df.withColumn(f"_i{i}", number).join(F.broadcast(numbered.toDF(f"_w{i}", f"_i{i}")), f"_i{i}", "left")
+        place = place + F.when(F.col(f"_i{i}") == 0, 1).otherwise(0)
+        parts.append(F.coalesce(f"_w{i}", F.split_part("_rest", F.lit(" "), F.greatest(place, F.lit(1)))))
+    return df.select(F.concat_ws(" ", *parts).alias("gram"), *others)
+
+
 def ngram_counts(df: DataFrame, col: str, k: int) -> DataFrame:
     """Each word `k`-gram of the table: `gram`, its `occurrences`, and the `texts` that have it.
 
     A row gives each of its grams once, with its number; map tasks add these up before the
-    shuffle, so a gram that every text has arrives as one row per task.
+    shuffle, so a gram that every text has arrives as one row per task. Most grams are rare,
+    so nearly all are shuffled: frequent words are numbers there, three in a long. Rows come
+    sorted by these, as neighbours that begin alike take less room in files.
     """
-    return _gram_runs(df, [], col, k).groupBy("gram").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
+    numbered = _numbered_words(df, col)
+    packed = _packed(_gram_runs(df, [], col, k), numbered, k)
+    keys = packed.columns[:-1]
+    counted = packed.groupBy(*keys).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
+    return _unpacked(counted, numbered, k).sortWithinPartitions(*keys[1:], "_rest").select("gram", "occurrences", "texts")

@@ -130,6 +130,50 @@ def test_a_very_common_gram_is_counted_before_the_shuffle(spark):
     assert "partial_sum" in plan
 
 
+def _shuffled(df, kind="shuffleBytesWritten"):
+    """Bytes that the shuffles of `df` wrote, from the metrics of the plan that ran."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found += node.metrics().apply(kind).value()
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "ResultQueryStageExec": "plan"}
+        below = node.children()
+        todo += [getattr(node, inner[name])()] if name in inner else [below.apply(i) for i in range(below.size())]
+    return found
+
+
+def test_counted_grams_are_shuffled_as_numbers(spark):
+    """Whole grams were shuffled, three words each."""
+    rng = random.Random(8)
+    known = [f"{i:x}-{rng.random()}" for i in range(500)]
+    df = spark.createDataFrame([(" ".join(rng.choices(known, k=200)),) for _ in range(200)], "t string")
+    plain = texts.ngrams(df.withColumn("id", F.lit(1)), "id", "t", 3).groupBy("gram").agg(F.sum("n"), F.count("n"))
+    found = texts.ngram_counts(df, "t", 3)
+    assert _shuffled(found) < 0.5 * _shuffled(plain)
+    assert sorted(rows(found)) == sorted(rows(plain))
+
+
+@pytest.mark.parametrize(("numbered", "k"), [(0, 3), (2, 1), (40, 3), (40, 4), (1 << 20, 7)])
+def test_grams_of_words_without_a_number(spark, monkeypatch, numbered, k):
+    """Any share of the words may have numbers, on any place of a gram."""
+    rng = random.Random(numbered + k)
+    known = ["0", "1", "!", "é", "日本", "\U0001f600", "\x0b", "\u00a0", "null", "a", "A", "a,", "", *(f"w{i}" for i in range(60))]
+    made = [" ".join(rng.choices(known, [80 / (i + 1) for i in range(len(known))], k=rng.randint(0, 30))) for _ in range(150)]
+    made += [None, "", " ", *made[:5]]
+    monkeypatch.setattr(texts, "NUMBERED", numbered)
+    occurrences, seen = Counter(), Counter()
+    for t in made:
+        w = _words(t)
+        grams = Counter(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+        occurrences.update(grams)
+        seen.update(grams.keys())
+    found = texts.ngram_counts(spark.createDataFrame([(t,) for t in made], "t string"), "t", k)
+    assert Counter(rows(found)) == Counter((g, n, seen[g]) for g, n in occurrences.items())
+
+
 def test_assembled_groups(spark, monkeypatch):
     """A third of all rows is one group, with repeated and null orders: no long array."""
     rng = random.Random(4)
